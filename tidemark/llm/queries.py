@@ -5,13 +5,86 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe
+from tidemark.functions.keys import plain_key
+from tidemark.llm import bpe, distinct, mixing, skeleton, survivor
 from tidemark.sources.tables import table
+from tidemark.storage import written
+
+
+def _user_buckets(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "src_impression", "user_id", "campaign_id", "event_time")
+    dims = {"day": F.to_date("event_time"), "campaign_id": plain_key("campaign_id")}
+    seen = written(distinct.facts(rows, plain_key("user_id"), dims), "facts")
+    codes = written(distinct.dictionary(seen), "dictionary")
+    return written(distinct.buckets(seen, codes, list(dims)), "buckets")
+
+
+def p4_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct users per day and campaign, per day, per campaign and overall: the last three merged from the first's bitmaps."""
+    stored = _user_buckets(spark, d)
+    out = None
+    for level, dims in (("day_campaign", ["day", "campaign_id"]), ("day", ["day"]), ("campaign", ["campaign_id"]), ("all", [])):
+        n = distinct.count(distinct.union(stored, dims), dims)
+        for c, kind in (("day", "date"), ("campaign_id", "string")):
+            if c not in dims:
+                n = n.withColumn(c, F.lit(None).cast(kind))
+        n = n.select(F.lit(level).alias("level"), "day", "campaign_id", "n_distinct", F.lit(0.0).alias("error_bound"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+def p4_returning(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct users by campaign that were seen on both 2024-02-05 and 2024-02-06: an AND of merged bitmaps."""
+    import datetime
+
+    days = [datetime.date(2024, 2, 5), datetime.date(2024, 2, 6)]
+    return distinct.count(distinct.intersection(_user_buckets(spark, d), "day", days, ["campaign_id"]), ["campaign_id"]).filter("n_distinct > 0")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.found(table(spark, d, "src_impression"))
+
+
+def p6_merged(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.merged(table(spark, d, "src_impression"))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.token_ids(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids,)}
-SQL: dict[str, str] = {}
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each mix and how often each is taken."""
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached shares by mix and source."""
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    marks = written(skeleton.digests(table(spark, d, "documents", "doc_id", "text")), "digests")
+    return skeleton.alike_pairs(marks).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p9_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every text in its one form."""
+    return skeleton.skeletons(table(spark, d, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (p4_distinct, p4_returning, p6_found, p6_merged, p7_ids, p8_mix, p8_shares, p9_found, p9_forms)}
+
+_PLAIN = "lower(trim({c}, ' ' || chr(9) || chr(10) || chr(13)))"
+_USERS = f"""users as (select cast(event_time as date) as day, {_PLAIN.format(c="campaign_id")} as campaign_id, {_PLAIN.format(c="user_id")} as u from src_impression
+ where user_id is not null and {_PLAIN.format(c="user_id")} != '')"""
+
+SQL: dict[str, str] = {
+    "p4_distinct": f"""with {_USERS}
+select 'day_campaign' as level, day, campaign_id, cast(count(distinct u) as bigint) as n_distinct, cast(0 as double) as error_bound from users group by day, campaign_id
+union all select 'day', day, null, count(distinct u), 0 from users group by day
+union all select 'campaign', null, campaign_id, count(distinct u), 0 from users group by campaign_id
+union all select 'all', null, null, count(distinct u), 0 from users""",
+    "p4_returning": f"""with {_USERS} select campaign_id, cast(count(*) as bigint) as n_distinct from (select campaign_id, u from users where day in (date '2024-02-05', date '2024-02-06')
+ group by campaign_id, u having count(distinct day) = 2) group by campaign_id""",
+}
