@@ -36,13 +36,14 @@ class CutOff:
     period_us: int = MINUTE
     delay_us: int = 10 * SECOND
     lateness_us: int = 10 * MINUTE
+    slack_us: int = 0  # a period closes so much before its last instant is reached
 
     def period_end(self, event_us: Column) -> Column:
         return floor_to(event_us, self.period_us) + self.period_us
 
     def passed(self, period_end: Column, watermark_us: Column) -> Column:
         """Whether a record that meets this watermark comes too late for its period."""
-        return watermark_us >= period_end + self.lateness_us
+        return watermark_us >= period_end + (self.lateness_us - self.slack_us)
 
 
 def read_log(raw: DataFrame) -> DataFrame:
@@ -64,8 +65,10 @@ class LambdaView:
         Two levels: minima within a day of cells, then over days. A day has a fixed number of cells and a calendar a fixed
         number of days, so no window grows with the log."""
         cut, step = self.cut, gcd(self.cut.period_us, self.cut.delay_us + self.cut.lateness_us)
-        cells = log.filter("event_us is not null").groupBy(floor_to(F.col("event_us"), step).alias("at")).agg(F.min("arrival_us").alias("first_us"))
-        ask = cut.period_end(F.col("at"))
+        cells = log.filter("event_us is not null").groupBy(
+            floor_to(F.col("event_us") + cut.slack_us, step).alias("at"), cut.period_end(F.col("event_us")).alias("ask")
+        ).agg(F.min("arrival_us").alias("first_us"))
+        ask = F.col("ask")
         points = cells.select(
             F.explode(
                 F.array(
