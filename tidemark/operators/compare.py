@@ -36,14 +36,14 @@ def differences(
 
     a, b = side(original), side(copy)
     n = max(1, -(-(original.count() + copy.count()) // bucket_rows))
-    part = F.lit(0)
+    part = F.lit(0).cast("bigint")
     if n > 1:
         both = a.select(*names).unionAll(b.select(*names))
         hot = both.groupBy(*names).count().filter(F.col("count") > hot_rows).select(*[F.col(k).alias(f"h_{k}") for k in names], F.lit(True).alias("hot"))
         same = [F.col(k).eqNullSafe(F.col(f"h_{k}")) for k in names]
         a, b = (x.join(hot, same, "left").drop(*[f"h_{k}" for k in names]) for x in (a, b))
         part = F.when(F.col("hot"), F.xxhash64(*cells)).otherwise(F.lit(0).cast("bigint"))
-    spread = lambda x: x.select(*names, *cells, F.pmod(F.xxhash64(*names) + part, F.lit(n)).alias("bucket"))
+    spread = lambda x: x.select(*names, *cells, F.pmod(F.xxhash64(*names).bitwiseXOR(part), F.lit(n)).alias("bucket"))
     a, b = spread(a), spread(b)
     types = dict(a.dtypes)
     schema = ", ".join([*(f"`{k}` {types[n]}" for k, n in zip(keys, names, strict=True)), "difference string"])
