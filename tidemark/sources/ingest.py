@@ -76,13 +76,17 @@ def instant(text: Column) -> Column:
     return F.when(text.rlike(r"^-?\d+$"), text.try_cast("bigint")).otherwise(iso)
 
 
-def invalid_reason(raw: Column, now_ms: Column) -> Column:
-    """The first reason to refuse an event, null if it is valid."""
-    get = lambda f: F.get_json_object(raw, f"$.{f}")
-    tests = [F.when(F.json_object_keys(raw).isNull(), "not_an_object")]
+def parsed(raw: Column) -> Column:
+    """An event's top fields as text, null where raw is no JSON object. Nested values keep their JSON text."""
+    return F.when(F.ltrim(raw).startswith("{"), F.from_json(raw, "map<string,string>"))
+
+
+def invalid_reason(event: Column, now_ms: Column) -> Column:
+    """The first reason to refuse a parsed() event, null if it is valid."""
+    tests = [F.when(event.isNull(), "not_an_object")]
     for f in REQUIRED:
-        tests.append(F.when(get(f).isNull(), f"missing_field:{f}").when(F.trim(get(f)) == "", f"blank_field:{f}"))
-    at = instant(get("event_time"))
+        tests.append(F.when(event[f].isNull(), f"missing_field:{f}").when(F.trim(event[f]) == "", f"blank_field:{f}"))
+    at = instant(event["event_time"])
     tests += [F.when(at.isNull(), "bad_event_time"), F.when(at > now_ms + FUTURE_S * 1000, "event_time_in_future")]
     return F.coalesce(*tests)
 
@@ -100,20 +104,19 @@ class Ingested:
 
 def routed(events: DataFrame, now_ms: Column, endpoint: str = "v1_events") -> DataFrame:
     """events (raw) with reason, topic, key and the enriched value; topic, key and value are null where there is a reason."""
-    raw = F.col("raw")
-    get = lambda f: F.get_json_object(raw, f"$.{f}")
-    where = topic(get("event_type"))
-    reason = F.coalesce(invalid_reason(raw, now_ms), F.when(where.isNull(), F.concat(F.lit("unknown_event_type:"), get("event_type"))))
+    event = F.col("tidemark_event")
+    rows = events.withColumn("tidemark_event", parsed(F.col("raw")))
+    where = topic(event["event_type"])
+    reason = F.coalesce(invalid_reason(event, now_ms), F.when(where.isNull(), F.concat(F.lit("unknown_event_type:"), event["event_type"])))
     ok = F.col("reason").isNull()
     stamp = lambda ms: F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    known = F.from_json(raw, "map<string,string>")
     value = F.map_concat(
-        F.map_filter(known, lambda k, v: ~k.isin("server_ts", "event_time", "ingest_endpoint")),
-        F.create_map(F.lit("server_ts"), stamp(now_ms), F.lit("event_time"), stamp(instant(get("event_time"))), F.lit("ingest_endpoint"), F.lit(endpoint)),
-        F.when(F.map_contains_key(known, "source"), F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("source"), F.lit("client"))),
+        F.map_filter(event, lambda k, v: ~k.isin("server_ts", "event_time", "ingest_endpoint")),
+        F.create_map(F.lit("server_ts"), stamp(now_ms), F.lit("event_time"), stamp(instant(event["event_time"])), F.lit("ingest_endpoint"), F.lit(endpoint)),
+        F.when(F.map_contains_key(event, "source"), F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("source"), F.lit("client"))),
     )
-    return events.withColumn("reason", reason).select(
-        "*", F.when(ok, where).alias("topic"), F.when(ok, F.coalesce(get("ad_request_id"), get("event_id"))).alias("key"), F.when(ok, F.to_json(value)).alias("value")
+    return rows.withColumn("reason", reason).select(
+        *events.columns, "reason", F.when(ok, where).alias("topic"), F.when(ok, F.coalesce(event["ad_request_id"], event["event_id"])).alias("key"), F.when(ok, F.to_json(value)).alias("value")
     )
 
 
