@@ -5,8 +5,8 @@ that combines before the shuffle, so an identifier with a third of all deliverie
 positions become bit vectors of 32,768 rows of a file: which rows stay (deletion is their complement among rows with an identifier),
 and which of them had repeats. The wide table is then read once, in place, and each row tests its bit; payloads are never shuffled.
 
-Vectors take a bit per row, twice, and are sent to the executors for groups of files: no broadcast exceeds `rows_per_group` / 4 bytes,
-however large the table.
+Vectors take 8 KB for 32,768 rows of a file and are sent to the executors for groups of files: no broadcast exceeds `vectors_per_group` times
+8 KB (one file's vectors at least), however large the table or small its files.
 
 Cases. Rows without identifier are all kept and have no repeats. Null order comes last; ties are decided by file and row, so the
 result is the same in every run over the same files. An empty table stays empty. Any other columns pass through unchanged;
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.storage import written
+
 #: Rows of one bit vector.
 BITS = 32_768
 
@@ -64,7 +66,7 @@ def _bit_is_set(bitmap: Column, bit: Column) -> Column:
     return F.coalesce(F.expr("0") != F.call_function("shiftright", byte, F.pmod(bit, F.lit(8))).bitwiseAND(F.lit(1)), F.lit(False))
 
 
-def kept_once(rows: DataFrame, key: str, order: list[Column], columns: list[str] | None = None, repeated_only: bool = False, rows_per_group: int = 1 << 28) -> DataFrame:
+def kept_once(rows: DataFrame, key: str, order: list[Column], columns: list[str] | None = None, repeated_only: bool = False, vectors_per_group: int = 8192) -> DataFrame:
     """The scan `rows` (as read from parquet files) with one delivery per key: the first by order, nulls last.
 
     columns: what to read of the winners; all if None. repeated_only: just the winners of keys with more than one delivery."""
@@ -74,8 +76,11 @@ def kept_once(rows: DataFrame, key: str, order: list[Column], columns: list[str]
         return rows.select(*(columns or rows.columns))
     wide = columns or rows.columns
     marks = vectors(winners(rows, key, order))
+    groups = _groups(files, rows, vectors_per_group)
+    if len(groups) > 1:
+        marks = written(marks, "vectors")
     out = None
-    for group in _groups(spark, files, schema, rows, rows_per_group):
+    for group in groups:
         scan = rows if len(group) == len(files) else _scan(spark, group, schema)
         at, test = _free(rows, "at"), _free(rows, "marks")
         file, vector, bit = _position()
@@ -91,13 +96,14 @@ def kept_once(rows: DataFrame, key: str, order: list[Column], columns: list[str]
     return out
 
 
-def _groups(spark: SparkSession, files: list[str], schema, rows: DataFrame, most: int) -> list[list[str]]:
-    """Files in groups of at most `most` rows (or one file). Row counts come from the files' footers."""
-    if len(files) == 1 or rows.count() <= most:
+def _groups(files: list[str], rows: DataFrame, most: int) -> list[list[str]]:
+    """Files in groups of at most `most` vectors (or one file). Row counts come from the files' footers."""
+    if len(files) == 1 or len(files) + rows.count() // BITS <= most:
         return [files]
     counts = {r["path"]: r["n"] for r in rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n")).toLocalIterator()}
     groups, size = [[]], 0
     for path, n in sorted(counts.items()):
+        n = -(-n // BITS)
         if groups[-1] and size + n > most:
             groups.append([])
             size = 0

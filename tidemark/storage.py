@@ -28,11 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written once as parquet under shared_dir() and read back: cuts the lineage, survives lost executors, and gives
     the planner true sizes. Fields keep their types; the rows' order is not kept."""
-    path = f"{shared_dir(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what written() left in this application. Results that were not stored elsewhere can't be read afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table_bytes(df: DataFrame) -> int:
     """The planner's size estimate of df; of a written table, what its files hold."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
