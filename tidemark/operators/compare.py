@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.shipping import shipped
+
 MISSING_IN_COPY, MISSING_IN_ORIGINAL = "missing_in_copy", "missing_in_original"
 
 
@@ -34,6 +36,7 @@ def differences(
     def side(df: DataFrame) -> DataFrame:
         return df.select(*[e.alias(n) for n, e in zip(names, keys.values(), strict=True)], *[F.col(f).alias(c) for f, c in zip(fields, cells, strict=True)]).distinct()
 
+    shipped(original.sparkSession)
     a, b = side(original), side(copy)
     n = max(1, -(-(original.count() + copy.count()) // bucket_rows))
     part = F.lit(0).cast("bigint")

@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from tidemark.operators.realtime import kinds
 from tidemark.operators.serving import latest
+from tidemark.shipping import shipped
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FIELDS = "event_id string, kind string, campaign_id string, is_twin int, event_time timestamp, watermark_ms long"
@@ -63,6 +64,7 @@ def deduplicated(events: DataFrame, delay: str = "10 seconds", ttl_ms: int = 3_6
     """First deliveries with window_end and late. Set spark.sql.streaming.stateStore.providerClass to ROCKSDB before.
 
     A row is late when a watermark exists and is at its window's end less a millisecond, or after."""
+    shipped(events.sparkSession)
     rows = kinds(events).filter("event_id is not null").withWatermark("event_time", delay).select("event_id", "kind", "campaign_id", "is_twin", "event_time").filter("kind is not null")
     out = rows.groupBy("event_id").transformWithState(
         statefulProcessor=KeepFirst(ttl_ms), outputStructType=FIELDS, outputMode="append", timeMode="ProcessingTime"
