@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.shipping import shipped
+
 #: Characters that are encoded together.
 BLOCK = 6_000_000
 #: Ids in one batch of the result.
@@ -302,6 +304,7 @@ def _blocks(batches: Iterable[pa.RecordBatch], block: int) -> Iterator[tuple[lis
 
 def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, block: int = BLOCK) -> DataFrame:
     """(key, ids): the ids of each text."""
+    shipped(documents.sparkSession)
     path = path or default_path()
     kind = documents.schema[key].dataType
 
@@ -326,6 +329,7 @@ def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", pat
 
 def token_counts(documents: DataFrame, text: str, columns: list[str], path: str | None = None, block: int = BLOCK) -> DataFrame:
     """The columns and n_tokens, as many as token_ids() lists for the row's text."""
+    shipped(documents.sparkSession)
     path = path or default_path()
     fields = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns)
 

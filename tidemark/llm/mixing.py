@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import plain_key
 from tidemark.llm.bpe import token_counts
+from tidemark.shipping import shipped
 from tidemark.storage import table_bytes, written
 
 TOPICS = 16
@@ -66,6 +67,7 @@ def sized(documents: DataFrame, goals: DataFrame, path: str | None = None) -> Da
 
 def cells(docs: DataFrame, goals: DataFrame) -> DataFrame:
     """(mix_name, source, lang, topic, rate): the expected copies of each document of the cell."""
+    shipped(docs.sparkSession)
     sums = docs.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens")).filter("tokens > 0")
     return sums.join(goals, "source").groupBy("mix_name").applyInPandas(_rake, "mix_name string, source string, lang string, topic int, rate double")
 

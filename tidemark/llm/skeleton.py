@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.shipping import shipped
+
 # Letters of other scripts that have the shape of a Latin letter, each after its prototype.
 LOOK_ALIKES = {
     "A": "ΑАᎪꓮ", "B": "ΒВᏴꓐ", "C": "ϹСᏟꓚ", "D": "Ꭰꓓ", "E": "ΕЕᎬꓰ", "F": "Ϝꓝ", "G": "ԌᏀꓖ", "H": "ΗНᎻꓧ", "I": "ΙІӀꓲ", "J": "ͿЈᎫꓙ",
@@ -71,6 +73,7 @@ def _digest(text: str) -> bytes:
 
 def digests(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, look, form): digests of the skeleton and of the text; look is null where nothing is visible."""
+    shipped(documents.sparkSession)
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,6 +89,7 @@ def digests(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def skeletons(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, skeleton) of every row: the one form in which texts that look alike are equal."""
+    shipped(documents.sparkSession)
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
