@@ -4,10 +4,10 @@ Tokens of the eligible documents are summed into cells of source, language and t
 proportional fitting) in turn to the languages' and the topics' own shares and to the target shares of the sources, no cell above
 max_repeats times its tokens; the sources come last, so their targets are met exactly wherever their documents suffice. A cell's
 weight by its tokens is the expected number of copies of each of its documents: the whole part is given to all, the rest
-by systematic sampling over the documents in order of cell and size, so that each has its probability and the sums keep within about
-one document of the target.
+by systematic sampling over the documents in order of size, so that each has its probability and the tokens of a source keep within
+one document (of each part of 200,000) of the target.
 
-The size of a mix is the tokens of its sources' documents, unless given. A source that cannot reach its target even at
+The size of a mix is the tokens of its sources' documents, unless size_tokens says another. A source that cannot reach its target even at
 max_repeats comes out at that, and is named; the others keep their targets.
 
 Languages are two letters or `und`, topics are `TOPICS` hash classes of the mailbox's local part, so a mix has a bounded number of
@@ -34,9 +34,9 @@ from tidemark.storage import table_bytes, written
 
 TOPICS = 16
 ROUNDS = 60
-UNIT = 1_000_000_000
+UNIT = 10_000_000
 #: Documents of one part of a running sum, about.
-PART_ROWS = 500_000
+PART_ROWS = 200_000
 BROADCAST_BYTES = 8 << 20
 
 
@@ -65,20 +65,20 @@ def sized(documents: DataFrame, goals: DataFrame, path: str | None = None) -> Da
     return token_counts(docs, "text", ["doc_id", "source", "lang", "topic"], path)
 
 
-def cells(docs: DataFrame, goals: DataFrame) -> DataFrame:
+def cells(docs: DataFrame, goals: DataFrame, size_tokens: int | None = None) -> DataFrame:
     """(mix_name, source, lang, topic, rate): the expected copies of each document of the cell."""
     shipped(docs.sparkSession)
     sums = docs.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens")).filter("tokens > 0")
-    return sums.join(goals, "source").groupBy("mix_name").applyInPandas(_rake, "mix_name string, source string, lang string, topic int, rate double")
+    return sums.join(goals, "source").groupBy("mix_name").applyInPandas(lambda rows: _rake(rows, size_tokens), "mix_name string, source string, lang string, topic int, rate double")
 
 
-def _rake(cells: pd.DataFrame) -> pd.DataFrame:
+def _rake(cells: pd.DataFrame, size_tokens: int | None = None) -> pd.DataFrame:
     cells = cells.sort_values(["source", "lang", "topic"], ignore_index=True)
     tokens = cells.tokens.to_numpy(float)
     most = tokens * cells.max_repeats.to_numpy(float)
     source, lang, topic = (pd.factorize(cells[c])[0] for c in ("source", "lang", "topic"))
     total = tokens.sum()
-    goal = cells.groupby(source).target_share.first().to_numpy(float) * total
+    goal = cells.groupby(source).target_share.first().to_numpy(float) * (size_tokens or total)
     goal = np.minimum(goal, np.bincount(source, most))
     size = goal.sum()
     weight = tokens.copy()
@@ -122,19 +122,18 @@ def drawn(docs: DataFrame, rates: DataFrame) -> DataFrame:
     salts = max(1, -(-docs.count() // PART_ROWS))
     rows = docs.filter("n_tokens > 0").join(_small(rates), ["source", "lang", "topic"])
     rows = rows.withColumn("whole", F.floor("rate")).withColumn("part_units", F.round((F.col("rate") - F.col("whole")) * UNIT).cast("bigint"))
-    size_class = F.floor(F.log2("n_tokens")).cast("int")
-    place = ["mix_name", "source", "lang", "topic", "size", "salt"]
-    rows = rows.withColumn("size", size_class).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    place = ["mix_name", "source", "salt"]
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
     sums = written(rows.groupBy(*place).agg(F.sum("part_units").alias("units")), "parts")
-    before = Window.partitionBy("mix_name", "source").orderBy("lang", "topic", "size", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("mix_name", "source").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*place, F.coalesce(F.sum("units").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy(*place).orderBy("n_tokens", F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*place).orderBy("n_tokens", "lang", "topic", F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(offsets, place).withColumn("sum", F.col("offset") + F.sum("part_units").over(within) + UNIT // 2)
-    extra = F.floor(F.col("sum") / UNIT) - F.floor((F.col("sum") - F.col("part_units")) / UNIT)
+    extra = F.expr(f"(sum div {UNIT}) - ((sum - part_units) div {UNIT})")
     return rows.select("mix_name", "source", "doc_id", "n_tokens", (F.col("whole") + extra).cast("int").alias("copies")).filter("copies > 0")
 
 
-def shares(copies: DataFrame, docs: DataFrame, goals: DataFrame) -> DataFrame:
+def shares(copies: DataFrame, docs: DataFrame, goals: DataFrame, size_tokens: int | None = None) -> DataFrame:
     """What each source was to reach and reached: status `met`, `short` (its documents at max_repeats don't suffice) or `no documents`.
 
     reached_share is of the mix as it came out, target_tokens of the size asked for."""
@@ -142,7 +141,7 @@ def shares(copies: DataFrame, docs: DataFrame, goals: DataFrame) -> DataFrame:
     got = copies.groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("reached_tokens"), F.max("copies").alias("most_copies"))
     rows = goals.join(have, "source", "left").join(got, ["mix_name", "source"], "left").na.fill(0, ["available", "reached_tokens", "most_copies"])
     whole = Window.partitionBy("mix_name")
-    rows = rows.withColumn("target_tokens", F.col("target_share") * F.sum("available").over(whole))
+    rows = rows.withColumn("target_tokens", F.col("target_share") * (F.lit(size_tokens) if size_tokens else F.sum("available").over(whole)))
     status = F.when((F.col("available") == 0) & (F.col("target_share") > 0), "no documents").when(
         F.col("available") * F.col("max_repeats") < F.col("target_tokens"), "short"
     ).otherwise("met")
@@ -152,9 +151,9 @@ def shares(copies: DataFrame, docs: DataFrame, goals: DataFrame) -> DataFrame:
     )
 
 
-def mixed(documents: DataFrame, mix_targets: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+def mixed(documents: DataFrame, mix_targets: DataFrame, path: str | None = None, size_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The drawn documents and the shares of every mix."""
     goals = written(targets(mix_targets), "goals")
     docs = written(sized(documents, goals, path), "sized")
-    copies = drawn(docs, written(cells(docs, goals), "rates"))
-    return copies, shares(copies, docs, goals)
+    copies = written(drawn(docs, written(cells(docs, goals, size_tokens), "rates")), "copies")
+    return copies, shares(copies, docs, goals, size_tokens)
