@@ -314,10 +314,10 @@ def pixel_canonical(spark, d):
 def _pixels(spark, d) -> DataFrame:
     exp = F.when(F.col("event_id") % 7 == 0, "1707690000").otherwise("1707697000")
     text = F.concat(F.lit("et="), F.col("event_type"), F.lit("&eid=evt-"), F.col("event_id"), F.lit("&cid=cmp+"), F.col("user_id") % 5, F.lit("&exp="), exp)
-    rows = table(spark, d, "events", "event_id", "user_id", "event_type").select("event_id", ingest.params(text).alias("p"))
+    rows = table(spark, d, "events", "event_id", "user_id", "event_type").select("event_id", F.explode(F.array(ingest.params(text))).alias("p"))
     sig = F.when(F.col("event_id") % 5 == 0, "00ff").when(F.col("event_id") % 5 != 1, F.upper(hmac_sha256(SECRET, canonical(F.col("p")))))
     signed = F.when(sig.isNull(), F.col("p")).otherwise(F.map_concat("p", F.create_map(F.lit("sig"), sig)))
-    return rows.select("event_id", signed.alias("p"))
+    return rows.select("event_id", F.explode(F.array(signed)).alias("p"))
 
 
 @query("""select event_id, case when event_id % 5 = 1 then 'track_missing_sig' when event_id % 7 = 0 then 'track_expired' when event_id % 5 = 0 then 'track_bad_signature' end as reason from events""")

@@ -105,7 +105,8 @@ class Ingested:
 def routed(events: DataFrame, now_ms: Column, endpoint: str = "v1_events") -> DataFrame:
     """events (raw) with reason, topic, key and the enriched value; topic, key and value are null where there is a reason."""
     event = F.col("tidemark_event")
-    rows = events.withColumn("tidemark_event", parsed(F.col("raw")))
+    # a generated column is computed once: a plain one would be copied into every later expression, and into filters that are pushed below it
+    rows = events.withColumn("tidemark_event", F.explode(F.array(parsed(F.col("raw")))))
     where = topic(event["event_type"])
     reason = F.coalesce(invalid_reason(event, now_ms), F.when(where.isNull(), F.concat(F.lit("unknown_event_type:"), event["event_type"])))
     ok = F.col("reason").isNull()
