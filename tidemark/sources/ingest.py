@@ -16,10 +16,10 @@ MAX_BATCH = 5_000
 # The event types that each topic takes.
 TOPICS = {
     "ad.impression": ("impression", "ad_impression"),
+    "ad.quartile": ("quartile", "start", "first_quartile", "firstquartile", "midpoint", "third_quartile", "thirdquartile", "complete"),
     "ad.click": ("click", "ad_click", "clickthrough"),
-    "ad.quartile": ("quartile", "start", "first_quartile", "midpoint", "third_quartile", "complete"),
-    "ad.request": ("ad_request", "ad_response", "request", "response"),
-    "user.behavior": ("play", "pause", "seek", "stop", "page_view", "session_start", "session_end", "content_complete"),
+    "ad.request": ("ad_request", "request", "ad_response", "response"),
+    "user.behavior": ("progress", "play", "pause", "resume", "seek", "session_start", "session_end", "content_start", "content_end"),
 }
 # Pixel parameters and the fields they carry.
 PIXEL = {"eid": "event_id", "et": "event_type", "cid": "campaign_id", "ts": "event_time", "arid": "ad_request_id", "crid": "creative_id", "q": "quartile", "sid": "session_id", "src": "source"}
@@ -72,8 +72,8 @@ def pixel_event(p: Column, now_ms: Column) -> Column:
 
 def instant(text: Column) -> Column:
     """Epoch milliseconds of a number, a digit string or an ISO time with offset, else null."""
-    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"), F.unix_millis(text.try_cast("timestamp")))
-    return F.when(text.rlike(r"^-?\d+$"), text.try_cast("bigint")).otherwise(iso)
+    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})$"), F.unix_millis(text.try_cast("timestamp")))
+    return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint")).otherwise(iso)
 
 
 def parsed(raw: Column) -> Column:
