@@ -71,7 +71,7 @@ def test_quirks(spark):
     df = spark.createDataFrame(rows, AD)
     assert {(r.campaign_id, r.impressions, r.raw_impressions) for r in settlement.daily(df).collect()} == {("c1", 1, 2), ("z", 2, 2)}
     assert {r.campaign_id for r in settlement.by_minute(df).collect()} == {"c1", "z", "clicks"}
-    assert {r.campaign_id: r.impressions for r in realtime.window_counts(realtime.replay(df)).collect()} == {"c1": 2, "z": 2, "clicks": 0, "pending": 1, "quart": 0}
+    assert {r.campaign_id: r.impressions for r in realtime.window_counts(realtime.replay(df)).collect()} == {"c1": 3, "z": 2, "clicks": 0, "pending": 1, "quart": 0}
     assert {r.source: r.n for r in settlement.source_mix(df.filter("ad_request_id = 'q'")).collect()} == {"client": 1}
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import MINUTE, SECOND, floor_to, wall_time, wall_us
 from tidemark.operators.late import CutOff, LambdaView
+from tidemark.sources.ingest import topic
 
 KINDS = ("impression", "click", "complete", "quartile", "request")
 
@@ -25,16 +26,19 @@ class Roll:
 
 
 def kinds(events: DataFrame) -> DataFrame:
-    """events with kind and is_twin; rows that no window counts (null campaign, unserved requests, other types) have a null kind."""
-    kind, quartile = F.col("event_type"), F.col("quartile")
+    """events with kind and is_twin; rows that no window counts (null campaign, unserved requests, other types) have a null kind.
+
+    A kind goes by the topic that takes the event type, so other names of a type count here though settlement knows one only; a quartile
+    is complete by its quartile field, not by its type."""
+    where, quartile = topic(F.col("event_type")), F.col("quartile")
     named = F.col("campaign_id").isNotNull()
     return events.withColumn(
         "kind",
-        F.when((kind == "impression") & named, "impression")
-        .when((kind == "click") & named, "click")
-        .when((kind == "quartile") & named, F.when(quartile == "complete", "complete").otherwise("quartile"))
-        .when((kind == "ad_response") & F.col("fill") & (F.col("campaign_id") != "nofill"), "request"),
-    ).withColumn("is_twin", F.when(F.col("ssai_twin_of").isNotNull(), 1).otherwise(0))
+        F.when((where == "ad.impression") & named, "impression")
+        .when((where == "ad.click") & named, "click")
+        .when((where == "ad.quartile") & named, F.when(quartile == "complete", "complete").otherwise("quartile"))
+        .when((F.col("event_type") == "ad_response") & F.col("fill") & (F.col("campaign_id") != "nofill"), "request"),
+    ).withColumn("is_twin", F.when((F.col("kind") == "impression") & F.col("ssai_twin_of").isNotNull(), 1).otherwise(0))
 
 
 def deliveries(events: DataFrame, ttl_us: int | None = None) -> DataFrame:
