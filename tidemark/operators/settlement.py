@@ -34,7 +34,6 @@ def _in_campaign() -> Column:
     return ~F.col("campaign_id").isin(*NO_CAMPAIGN)
 
 
-
 def _deduped(events: DataFrame) -> DataFrame:
     order = [F.col("event_time"), F.col("arrival_time"), F.col("dup_flag")]
     return one_per_id(events, ["event_type", "campaign_id", "ad_request_id", "quartile", "fill", "source", "event_time", "late_flag"], order)

@@ -7,11 +7,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.keys import MINUTE, floor_to, plain_key, wall_time, wall_us
+from tidemark.functions.keys import MINUTE, arrival_us, campaign_key, floor_to, plain_key, request_key, wall_time, wall_us
 from tidemark.functions.signing import canonical, hmac_sha256
 from tidemark.operators import archive, metrics, outbox, realtime, reconcile, serving, settlement
 from tidemark.operators.realtime import Roll
-from tidemark.plans.problems import sql_plain
+from tidemark.plans.problems import sql_arrival, sql_campaign, sql_plain, sql_request
 from tidemark.sources import adapter, ingest
 from tidemark.sources.tables import table
 
@@ -103,6 +103,25 @@ def settle_twin_pairs(spark, d):
     return settlement.twin_pairs(_ad(spark, d))
 
 
+@query(f"""with r as (select event_id, event_type, {sql_campaign("campaign_id")} as campaign_id, {sql_request("ad_request_id")} as ad_request_id, {sql_plain("source")} as source, event_time,
+ {sql_arrival("server_ts")} as arr, _late, _dup from src_impression where event_id is not null),
+once as (select * from (select *, row_number() over (partition by event_id order by event_time nulls last, arr nulls last, _dup nulls last, event_type nulls first, campaign_id nulls first,
+ ad_request_id nulls first, source nulls first) as rn, count(*) over (partition by event_id) as copies from r) where rn = 1),
+bill as (select * from (select *, row_number() over (partition by coalesce(ad_request_id, event_id) order by case source when 'server' then 0 when 'client' then 1 else 3 end, event_time nulls last, event_id) as sr
+ from once where campaign_id is not null and event_type = 'impression') where sr = 1),
+c as (select cast(event_time as date) as dt, campaign_id, count(*) as raw_impressions, sum(copies - 1) as dupes_removed from once where campaign_id is not null and event_type = 'impression' group by all),
+i as (select cast(event_time as date) as dt, campaign_id, count(*) as impressions from bill group by all)
+select c.dt, c.campaign_id, cast(coalesce(impressions, 0) as bigint) as impressions, cast(raw_impressions as bigint) as raw_impressions, cast(dupes_removed as bigint) as dupes_removed
+from c left join i on c.dt is not distinct from i.dt and c.campaign_id = i.campaign_id""")
+def settle_impressions(spark, d):
+    """The archive's impressions, settled by day and campaign with ids read as the tables' rules say."""
+    rows = table(spark, d, "src_impression").select(
+        "event_id", "event_type", campaign_key("campaign_id").alias("campaign_id"), request_key("ad_request_id").alias("ad_request_id"), "quartile", F.lit(None).cast("boolean").alias("fill"),
+        plain_key("source").alias("source"), "event_time", arrival_us("server_ts").alias("arrival_time"), F.col("_late").alias("late_flag"), F.col("_dup").alias("dup_flag"),
+    )
+    return settlement.daily(rows).select("dt", "campaign_id", "impressions", "raw_impressions", "dupes_removed")
+
+
 # --- real time ------------------------------------------------------------------------------------------------------------------
 
 
