@@ -8,16 +8,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from event_rows import AD
 from tidemark.functions.signing import canonical, hmac_sha256
 from tidemark.operators import metrics, outbox, realtime, reconcile, serving, settlement
 from tidemark.sources import ingest
 
 T = dt.datetime(2024, 2, 5, 12, 0, 10)
-AD = (
-    "n long, event_id string, event_type string, campaign_id string, ad_request_id string, quartile string, fill boolean, source string, ssai_twin_of string,"
-    " event_time timestamp_ntz, arrival_time timestamp_ntz, late_flag boolean, dup_flag boolean"
-)
-
 
 def row(n, eid, kind="impression", cid="c1", req=None, q=None, fill=None, source="client", twin=None, at=0.0, came=None, dup=None):
     t = T + dt.timedelta(seconds=at)
