@@ -157,6 +157,15 @@ def test_differences_of_a_hot_key_and_empty_sides(spark):
     assert _diff(spark, [], []) == [] and len(_diff(spark, rows, [])) == 50
 
 
+def test_changed_fields_of_a_hot_key_do_not_depend_on_the_split(spark):
+    a = [(at(0), None if i % 2 else "k", i, 1.0, 0) for i in range(80)]
+    b = [(t, c, n, 2.0 if n % 5 == 0 else x, 0) for t, c, n, x, _ in a]
+    for how in ({}, {"bucket_rows": 3, "hot_rows": 2}, {"bucket_rows": 7, "hot_rows": 5}):
+        assert _diff(spark, a, b, **how) == sorted([(None, "x")] * 8 + [("k", "x")] * 8, key=str)
+    b = [r for r in b if r[2] not in (1, 2, 33)] + [(at(0), "k", 500, 1.0, 0), (at(0), "k", None, 1.0, 0)]
+    assert _diff(spark, a, b, bucket_rows=3, hot_rows=2) == _diff(spark, a, b)
+
+
 MSG = "event_id string, server_ts string, at string, marks int, payload string"
 
 

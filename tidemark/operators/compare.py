@@ -1,14 +1,13 @@
 """Differences between two copies of a table, field by field.
 
-Both sides are reduced to distinct rows, put into hash buckets of their key and cogrouped as Arrow tables. In a bucket, keys become
-integers, the sides are aligned by sorted search, all fields are compared at once through null-aware masks, and the masked
-cells come out as rows. Buckets are sized from row counts, so none outgrows a task.
+Rows that are equal on both sides cancel out first. The rest get their rank within key and side in the order of their values, are put into
+hash buckets of key and rank, and cogrouped as Arrow tables. In a bucket, keys become integers, the sides are aligned by sorted search, all fields
+are compared at once through null-aware masks, and the masked cells come out as rows. Buckets are sized from row counts, so none outgrows a task.
 
 Cases. Null equals null and differs from every value; NaN equals NaN. Fully equal rows of one side count once. A null key part is a key
-value of its own. Where one side has several different rows of a key, both sides' rows of the key are sorted and matched first to first,
-second to second; the rest is missing on the other side. A key with more than `hot_rows` rows is split over buckets by the
-hash of its fields: equal rows still meet, and rows match within a part. Empty sides give only missing rows. Only the named
-columns are read, so others may have any name.
+value of its own. Where a key has several rows that are not on the other side, they match first to first, second to second in the order of their
+values; what one side has more of is missing on the other. The rule holds for every key at every size. Keys with more than `hot_rows` such rows on a
+side are ranked by ranges. Empty sides give only missing rows. Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -21,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import ranked
 from tidemark.shipping import shipped
+from tidemark.storage import written
 
 MISSING_IN_COPY, MISSING_IN_ORIGINAL = "missing_in_copy", "missing_in_original"
 
@@ -33,21 +34,17 @@ def differences(
     names = [f"k{i}" for i in range(len(keys))]
     cells = [f"f{i}" for i in range(len(fields))]
 
-    def side(df: DataFrame) -> DataFrame:
-        return df.select(*[e.alias(n) for n, e in zip(names, keys.values(), strict=True)], *[F.col(f).alias(c) for f, c in zip(fields, cells, strict=True)]).distinct()
+    def side(df: DataFrame, bit: int) -> DataFrame:
+        columns = [*(e.alias(n) for n, e in zip(names, keys.values(), strict=True)), *(F.col(f).alias(c) for f, c in zip(fields, cells, strict=True))]
+        return df.select(*columns, F.lit(bit).alias("side"))
 
     shipped(original.sparkSession)
-    a, b = side(original), side(copy)
-    n = max(1, -(-(original.count() + copy.count()) // bucket_rows))
-    part = F.lit(0).cast("bigint")
-    if n > 1:
-        both = a.select(*names).unionAll(b.select(*names))
-        hot = both.groupBy(*names).count().filter(F.col("count") > hot_rows).select(*[F.col(k).alias(f"h_{k}") for k in names], F.lit(True).alias("hot"))
-        same = [F.col(k).eqNullSafe(F.col(f"h_{k}")) for k in names]
-        a, b = (x.join(hot, same, "left").drop(*[f"h_{k}" for k in names]) for x in (a, b))
-        part = F.when(F.col("hot"), F.xxhash64(*cells)).otherwise(F.lit(0).cast("bigint"))
-    spread = lambda x: x.select(*names, *cells, F.pmod(F.xxhash64(*names).bitwiseXOR(part), F.lit(n)).alias("bucket"))
-    a, b = spread(a), spread(b)
+    rows = side(original, 1).unionAll(side(copy, 2)).groupBy(*names, *cells).agg(F.bit_or("side").alias("side")).filter("side < 3")
+    rows = written(rows, "unequal")
+    n = max(1, -(-rows.count() // bucket_rows))
+    rows = ranked(rows, [*names, "side"], cells, hot_rows).withColumn("bucket", F.pmod(F.xxhash64(*names, "rank"), F.lit(n)))
+    own = [*names, *cells, "rank", "bucket"]
+    a, b = (rows.filter(F.col("side") == bit).select(*[F.col(c).alias(c) for c in own]) for bit in (1, 2))  # columns of their own, else cogroup mixes them up
     types = dict(a.dtypes)
     schema = ", ".join([*(f"`{k}` {types[n]}" for k, n in zip(keys, names, strict=True)), "difference string"])
     out_names = list(keys)
@@ -67,14 +64,12 @@ def _codes(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray, n
 
 def _compare(left: pa.Table, right: pa.Table, names: list[str], cells: list[str], fields: list[str], out_names: list[str]) -> pa.Table:
     ka, kb = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
-    for n in names:
+    for n in [*names, "rank"]:
         x, y = _codes(left[n], right[n])
         ka, kb = _dense(np.concatenate([ka, kb]), np.concatenate([x, y]), len(left))
     values = [_codes(left[c], right[c]) for c in cells]
-    order_a, occ_a = _sorted(ka, [v[0] for v in values])
-    order_b, occ_b = _sorted(kb, [v[1] for v in values])
-    most = int(max(occ_a.max(initial=0), occ_b.max(initial=0))) + 1
-    sa, sb = ka[order_a] * most + occ_a, kb[order_b] * most + occ_b
+    order_a, order_b = np.argsort(ka), np.argsort(kb)
+    sa, sb = ka[order_a], kb[order_b]
     at = np.searchsorted(sb, sa)
     hit = (at < len(sb)) & (sb[np.minimum(at, max(len(sb) - 1, 0))] == sa) if len(sb) else np.zeros(len(sa), bool)
     found = np.zeros(len(sb), bool)
@@ -95,12 +90,3 @@ def _dense(high: np.ndarray, low: np.ndarray, split: int) -> tuple[np.ndarray, n
     """One integer for each pair (high, low); low is -1 or more."""
     codes = pd.factorize(high * (int(low.max(initial=0)) + 2) + low + 1)[0].astype(np.int64)
     return codes[:split], codes[split:]
-
-
-def _sorted(key: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers in the order of key and values; the place of each within its key."""
-    order = np.lexsort([*reversed(values), key])
-    k = key[order]
-    start = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
-    first = np.flatnonzero(start)
-    return order, np.arange(len(k)) - np.repeat(first, np.diff(np.r_[first, len(k)]))
