@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import MINUTE, SECOND, floor_to, wall_time, wall_us
 from tidemark.operators.late import CutOff, LambdaView
+from tidemark.operators.ranks import ranked
 from tidemark.sources.ingest import topic
+from tidemark.storage import written
 
 KINDS = ("impression", "click", "complete", "quartile", "request")
 
@@ -41,22 +43,32 @@ def kinds(events: DataFrame) -> DataFrame:
     ).withColumn("is_twin", F.when((F.col("kind") == "impression") & F.col("ssai_twin_of").isNotNull(), 1).otherwise(0))
 
 
-def deliveries(events: DataFrame, ttl_us: int | None = None) -> DataFrame:
+def deliveries(events: DataFrame, ttl_us: int | None = None, list_rows: int = 1_000_000) -> DataFrame:
     """The rows that keep-first passes on, one per id, or one more whenever the last one kept is ttl_us old or older.
 
-    An id's arrivals are reduced to the first of each second before they are gathered, so a list is bounded by the seconds that the log covers."""
+    With ttl_us, every distinct arrival of an id counts. They are folded as lists in order of time, of at most list_rows each; an id with more has
+    several, and each goes on from the last arrival that the one before kept."""
     tie = F.struct("arrival_us", "n", "kind", "campaign_id", "is_twin", "event_us", "ad_request_id")
     rows = events.filter("event_id is not null and arrival_us is not null")
     if ttl_us is None:
         return rows.groupBy("event_id").agg(F.min(tie).alias("f")).select("event_id", "f.*")
-    each = rows.groupBy("event_id", floor_to(F.col("arrival_us"), SECOND).alias("second")).agg(F.min(tie).alias("f"))
-    lists = each.groupBy("event_id").agg(F.array_sort(F.collect_list("f")).alias("fs"))
-    kept = F.aggregate(
-        "fs",
-        F.slice("fs", 1, 1),
-        lambda acc, f: F.when(f["arrival_us"] >= F.element_at(acc, -1)["arrival_us"] + ttl_us, F.concat(acc, F.array(f))).otherwise(acc),
-    )
-    return lists.select("event_id", F.explode(kept).alias("f")).select("event_id", "f.*")
+    each = written(rows.groupBy("event_id", "arrival_us").agg(F.min(tie).alias("f")), "arrivals")
+    lists = ranked(each.select("event_id", "arrival_us"), ["event_id"], ["arrival_us"], list_rows)
+    lists = lists.groupBy("event_id", F.floor(F.col("rank") / list_rows).alias("block")).agg(F.array_sort(F.collect_list("arrival_us")).alias("us"))
+    lists = written(lists, "lists")
+    last = lists.agg(F.max("block")).first()[0] or 0
+    never = F.lit(-(1 << 62)).cast("bigint")
+    kept, folded = None, None
+    for block in range(last + 1):
+        own = lists.filter(F.col("block") == block)
+        own = own.withColumn("before", never) if folded is None else own.join(folded.select("event_id", F.element_at("kept", -1).alias("before")), "event_id")
+        fold = F.aggregate("us", F.array("before"), lambda acc, us: F.when(us >= F.element_at(acc, -1) + ttl_us, F.concat(acc, F.array(us))).otherwise(acc))
+        folded = own.select("event_id", fold.alias("kept"))
+        if last:
+            folded = written(folded, "kept")
+        new = folded.select("event_id", F.explode(F.slice("kept", 2, F.size("kept"))).alias("arrival_us"))
+        kept = new if kept is None else kept.unionByName(new)
+    return each.join(kept, ["event_id", "arrival_us"], "left_semi").select("event_id", "f.*")
 
 
 def replay(events: DataFrame, roll: Roll = Roll()) -> DataFrame:  # noqa: B008
