@@ -83,6 +83,39 @@ def test_layers(spark):
     assert {x.event_id: x.layer for x in survivor.layered(df).first().layers} == {"a": 1, "b": 1, "d": 1, "c": 2, "e": 3}
 
 
+def _filled_by_hand(members):
+    """Fields of the group's survivor, by peeling skylines off all its records."""
+    key = lambda r: ({"server": 0, "client": 1}.get(r[3], 2), sum(x in (None, "") for x in r[5:14]), -dt.datetime.fromisoformat(r[4]).timestamp())
+    rest, order = list(members), []
+    while rest:
+        beats = lambda x, y: key(x) != key(y) and all(a <= b for a, b in zip(key(x), key(y), strict=True))
+        layer = [r for r in rest if not any(beats(x, r) for x in rest)]
+        order += sorted(layer, key=lambda r: (*key(r), r[0]))
+        rest = [r for r in rest if r not in layer]
+    return order[0][0], [next((r[i] for r in order if r[i] not in (None, "")), None) for i in range(5, 14)]
+
+
+@pytest.mark.parametrize("list_rows", [200_000, 4])
+def test_values_come_from_layers_of_all_records(spark, tmp_path, list_rows):
+    rng, by_group = random.Random(11), defaultdict(list)
+    for i in range(240):
+        g, mask = i % 6, rng.choice([0b000000111, 0b000011001, 0b000100000, 0b001000011, 0b110000000])
+        f = [(f"v{i}" if k < 6 else i if k < 8 else float(i)) if mask >> k & 1 else None for k in range(9)]
+        r = (f"e{rng.randint(0, 99):02d}-{i}", f"req-{g + 1}", None, rng.choice(["server", "client", "lab"]), (T0 + dt.timedelta(seconds=rng.randint(0, 25))).isoformat(), *f, "x", "y", 3)
+        by_group[g].append(r)
+    want = {min(r[0] for r in m): (*_filled_by_hand(m), len(m)) for m in by_group.values()}
+    got = survivor.merged(_table(spark, tmp_path / "t", sum(by_group.values(), [])), list_rows).collect()
+    assert {r.group_id: (r.survivor_id, [r[f] for f in survivor.FIELDS], r.n_records) for r in got} == want
+
+
+def test_dropped_records_count_in_the_depth_of_others(spark, tmp_path):
+    """y1 dominates the other three, y (of the mask of y1) dominates x: x is third, z second, so the value of z is taken."""
+    row = lambda e, source, age, values: (e, "req-1", None, source, (T0 - dt.timedelta(seconds=age)).isoformat(), *values, "x", "y", 3)
+    fill = lambda e, n, f: [e if f else None, *[e] * min(n, 5), *[None] * (5 - min(n, 5)), *([None] * 3)]
+    rows = [row("y1", "server", 1, fill("y1", 5, False)), row("y", "server", 20, fill("y", 5, False)), row("z", "client", 10, fill("z", 3, True)), row("x", "server", 30, fill("x", 2, True))]
+    assert [r.creative_id for r in survivor.merged(_table(spark, tmp_path / "t", rows)).collect()] == ["z"]
+
+
 def test_empty(spark, tmp_path):
     df = _table(spark, tmp_path / "t", [])
     assert survivor.found(df).count() == 0 and survivor.merged(df).count() == 0

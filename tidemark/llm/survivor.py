@@ -3,15 +3,17 @@
 Links. Records are linked by an equal request id, or where one names the other as its twin. Request ids are contracted to one vertex each, so
 only twin links between different vertices need connected components.
 
-Choice. Records of a group are compared by trust (of their source), completeness (filled fields) and recency (arrival). Of the
-records with equal trust and equally filled fields only the latest can matter: it dominates the others and fills what they could. These
-representatives, at most 3 * 2^fields a group however many records it has, form the group's dominance layers: layer 1 is the skyline,
-the representatives that none beats in one respect without losing in another; layer 2 is the skyline of the rest, and so on. The survivor is the
-skyline's first by trust, then completeness, then recency, then the smallest id. Its empty fields are filled from the first layer
-that has a value, within a layer in the same order.
+Choice. Records of a group are compared by trust (of their source), completeness (filled fields) and recency (arrival). All
+records of the group form its dominance layers: layer 1 is the skyline, the records that none beats in one respect without losing in another; layer 2
+is the skyline of the rest, and so on. The survivor is the skyline's first by trust, then completeness, then recency, then the smallest id. Its empty
+fields are filled from the first layer that has a value, within a layer in the same order.
 
-All steps before the layers are minima and counts, combined before the shuffle. Layers are found in a fold over a group's
-representatives inside the JVM. Values are fetched last, for donors only.
+Of the records with equal trust and equally filled fields only the latest, their representative, can survive or give a value, so at most 3 * 2^fields
+a group need a layer, but every record counts in the depth of those that it dominates.
+
+All steps before the layers are minima and counts, combined before the shuffle. Layers are found in a fold over a group's records from the latest on,
+inside the JVM; it keeps the depth reached in each cell of trust and completeness. A group of more than `list_rows` different records is folded list by
+list, each going on from the one before. Values are fetched last, for donors only.
 
 Cases. Records without id are left out. Repeated deliveries count once, by the first arrival (see redelivery). Placeholder request ids link
 nothing. No arrival is the oldest. A record that names itself as twin, or one that is absent, has no twin. A null or empty text and
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import arrival_us, plain_key, request_key
 from tidemark.llm.components import components
+from tidemark.operators.ranks import ranked
 from tidemark.operators.redelivery import kept_once
 from tidemark.storage import written
 
@@ -84,12 +87,54 @@ aggregate(reps, cast(array() as array<struct<layer:int,trust:int,missing:int,age
 
 
 def layered(groups: DataFrame) -> DataFrame:
-    """representatives() with layers: (layer, trust, missing, age_us, event_id, filled) in order of layer, then of the policy.
+    """representatives() with the layers that they form among themselves, which is enough for the survivor: (layer, trust, missing, age_us, event_id, filled) in order of layer, then of the policy.
 
     The reps come in an order in which no record follows one that it dominates, so one pass finds each layer from the layers before it."""
     return groups.select("group_id", "n_records", F.array_sort(F.expr(_LAYERED)).alias("layers"))
 
 
+_CELLS = (len(TRUST) + 1) * (len(FIELDS) + 1)  # a cell for each trust and number of missing fields
+_FRESH = f"""named_struct('best', array_repeat(0, {_CELLS}), 'age_us', cast(null as bigint), 'cell', -1,
+  'layers', cast(array() as array<struct<layer:int,trust:int,missing:int,age_us:bigint,event_id:string,filled:int>>))"""
+#: s: best (the depth reached in each cell), age_us and cell of the last record, and the layers of representatives so far. Records of one cell and
+#: age are one point. An own cell has its depth from later records only, so each point is one deeper than the deepest cell that is as good.
+_STEP = f"""
+get(transform(array(if(s.age_us = r.age_us and s.cell = r.trust * {len(FIELDS) + 1} + r.missing, get(s.best, s.cell),
+    1 + array_max(transform(s.best, (d, i) -> if(i div {len(FIELDS) + 1} <= r.trust and i % {len(FIELDS) + 1} <= r.missing, d, 0))))), depth -> named_struct(
+  'best', transform(s.best, (d, i) -> if(i = r.trust * {len(FIELDS) + 1} + r.missing, depth, d)), 'age_us', r.age_us, 'cell', r.trust * {len(FIELDS) + 1} + r.missing,
+  'layers', if(exists(s.layers, x -> x.trust = r.trust and x.filled = r.filled), s.layers, concat(s.layers, array(named_struct(
+    'layer', depth, 'trust', r.trust, 'missing', r.missing, 'age_us', r.age_us, 'event_id', r.event_id, 'filled', r.filled)))))), 0)
+"""
+
+
+def layered_whole(rows: DataFrame, list_rows: int = 200_000) -> DataFrame:
+    """The groups of grouped() with their representatives in layers, as layered(), the layers being those of all records."""
+    each = rows.groupBy("vertex", "trust", "missing", "filled", "age_us").agg(F.min("event_id").alias("event_id"), F.count("*").alias("n"))
+    each = written(each, "points")
+    lists = ranked(each, ["vertex"], ["age_us", "trust", "missing", "filled"], list_rows)
+    lists = lists.groupBy("vertex", F.floor(F.col("rank") / list_rows).alias("block")).agg(
+        F.min("event_id").alias("group_id"), F.sum("n").alias("n_records"), F.array_sort(F.collect_list(F.struct("age_us", "trust", "missing", "filled", "event_id"))).alias("points")
+    )
+    lists = written(lists.filter("n_records > 1 or block > 0"), "lists")
+    last = lists.agg(F.max("block")).first()[0] or 0
+    out, folded = None, None
+    for block in range(last + 1):
+        own = lists.filter(F.col("block") == block)
+        if folded is None:
+            own = own.withColumn("start", F.expr(_FRESH))
+        else:
+            before = folded.select("vertex", F.col("group_id").alias("g"), F.col("n_records").alias("n"), F.col("state").alias("start"))
+            own = own.join(before, "vertex").withColumn("group_id", F.least("group_id", "g")).withColumn("n_records", F.col("n_records") + F.col("n"))
+        folded = own.select("vertex", "group_id", "n_records", F.expr(f"aggregate(points, start, (s, r) -> {_STEP})").alias("state"))
+        ended = folded
+        if last:
+            folded = written(folded, "folded")
+            ended = folded.join(lists.filter(F.col("block") == block + 1).select("vertex"), "vertex", "left_anti")
+        ended = ended.select("group_id", "n_records", F.array_sort("state.layers").alias("layers"))
+        out = ended if out is None else out.unionByName(ended)
+    return out.filter("n_records > 1")
+
+
 def survivors(groups: DataFrame) -> DataFrame:
     """(group_id, survivor_id, n_records, donors): the first of the skyline; donors: for each field the id of the record that fills it."""
     donors = [F.expr(f"get(filter(layers, r -> r.filled & {1 << i} != 0), 0).event_id").alias(f) for i, f in enumerate(FIELDS)]
@@ -101,9 +146,9 @@ def found(impressions: DataFrame) -> DataFrame:
     return survivors(layered(representatives(grouped(written(records(impressions), "records"))))).select("group_id", "survivor_id")
 
 
-def merged(impressions: DataFrame) -> DataFrame:
+def merged(impressions: DataFrame, list_rows: int = 200_000) -> DataFrame:
     """The surviving records: group_id, survivor_id, n_records, n_filled (fields taken from others), and the fields."""
-    chosen = written(survivors(layered(representatives(grouped(written(records(impressions), "records"))))), "survivors")
+    chosen = written(survivors(layered_whole(grouped(written(records(impressions), "records")), list_rows)), "survivors")
     wanted = chosen.select("group_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"donors.{f}").alias("event_id")) for f in FIELDS])).alias("w"))
     wanted = wanted.select("group_id", "w.field", "w.event_id").filter("event_id is not null")
     once = kept_once(impressions, "event_id", [arrival_us("server_ts")], ["event_id", *FIELDS])
