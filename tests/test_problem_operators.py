@@ -84,6 +84,16 @@ def test_frozen_periods_stay(spark):
     assert {r.n for r in s1.collect()} == {2}
 
 
+def test_ids_without_arrival_count_in_their_period(spark):
+    rows = [("a", at(0), at(1).isoformat()), ("u", at(5), "bad"), ("u", at(65), None), ("a", at(6), None), ("w", at(50_000), at(50_000).isoformat()), ("x", at(100_000), at(100_000).isoformat()), ("v", at(99_999_999), None), ("n", None, None), (None, at(0), None)]
+    df = spark.createDataFrame([(e, "C ", t, s, None) for e, t, s in rows], RAW)
+    minute = lambda s: int((at(s) - dt.datetime(1970, 1, 1)).total_seconds()) // 60 * 60_000_000 + MINUTE
+    view = lambda **how: {(r.period_end, r.n, r.provisional, r.frozen) for r in late.corrected_periods(df, **how).collect()}
+    later = {(minute(50_000), 1, 0, False), (minute(100_000), 1, 1, False)}
+    assert view() == {(minute(0), 1, 0, True), *later}
+    assert view(undated=True) == {(minute(0), 2, 0, True), (minute(99_999_999), 1, 0, False), *later}
+
+
 def test_late_on_an_empty_log(spark):
     df = spark.createDataFrame([], RAW)
     assert late.late_firsts(df).count() == 0 and late.corrected_periods(df).count() == 0

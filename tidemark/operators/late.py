@@ -11,7 +11,8 @@ is the first arrival of any record with event time >= E + delay + lateness. That
 a running maximum over the log: one small aggregate by event-time cell, then a minimum over cells. No task sorts the log.
 
 Cases. Records without event id are advanced through the watermark but counted nowhere; without readable arrival they
-are ignored; without event time they belong to no period and are never rejected. Repeated deliveries of an id count by
+move no watermark and are ignored, or, if asked for, counted by the batch layer in their period and never rejected, provided that no delivery of
+their id has one; without event time they belong to no period and are never rejected. Repeated deliveries of an id count by
 their first arrival. Of deliveries that share the first instant, one past its period's cut-off makes the id a rejected
 one. Empty logs give empty results. Other columns are never read.
 """
@@ -46,11 +47,12 @@ class CutOff:
         return watermark_us >= period_end + (self.lateness_us - self.slack_us)
 
 
-def read_log(raw: DataFrame) -> DataFrame:
-    """event_id, group, event_us, arrival_us of raw impression rows."""
-    return raw.select(
+def read_log(raw: DataFrame, undated: bool = False) -> DataFrame:
+    """event_id, group, event_us, arrival_us of raw impression rows; with undated, also of those without readable arrival."""
+    log = raw.select(
         "event_id", plain_key("campaign_id").alias("group"), wall_us("event_time").alias("event_us"), arrival_us("server_ts").alias("arrival_us")
-    ).filter(F.col("arrival_us").isNotNull())
+    )
+    return log if undated else log.filter(F.col("arrival_us").isNotNull())
 
 
 class LambdaView:
@@ -95,8 +97,10 @@ class LambdaView:
         return log.join(F.broadcast(closings) if small else closings, "period_end", "left")
 
     def firsts(self, stamped: DataFrame) -> DataFrame:
-        """One row for each event id, at its first arrival: event_id, arrival_us, period_end, group, closes_us, rejected."""
-        first = F.struct("arrival_us", (~_rejected()).alias("kept"), "period_end", "group", "closes_us")
+        """One row for each event id, at its first arrival: event_id, arrival_us, period_end, group, closes_us, rejected.
+
+        An id without any arrival has a null one; of its rows, those with a period come first, then the earliest."""
+        first = F.struct(F.col("arrival_us").isNull().alias("undated"), "arrival_us", (F.col("arrival_us").isNull() & F.col("period_end").isNull()).alias("nowhere"), (~_rejected()).alias("kept"), "period_end", "group", "closes_us")
         return (
             stamped.filter("event_id is not null")
             .groupBy("event_id")
@@ -123,9 +127,9 @@ class LambdaView:
 
     def refresh(self, state: DataFrame | None, firsts: DataFrame, as_of_us: int | Column) -> DataFrame:
         """A batch run: (period_end, group, n, frozen). Frozen rows of the last state stay as they are; every other period is
-        counted again from the full log as it was at as_of_us, and frozen if its cut-off has passed by then. Groups without a counted
+        counted again from the full log as it was at as_of_us, and frozen if its cut-off has passed by then. Ids without any arrival count in every run. Groups without a counted
         record have no row."""
-        known = firsts.filter((F.col("arrival_us") <= as_of_us) & F.col("period_end").isNotNull())
+        known = firsts.filter((F.col("arrival_us").isNull() | (F.col("arrival_us") <= as_of_us)) & F.col("period_end").isNotNull())
         if state is not None:
             done = state.filter("frozen").select("period_end").distinct()
             known = known.join(done, "period_end", "left_anti")
@@ -166,11 +170,11 @@ def late_recorded(dropped: DataFrame, cut: CutOff = CutOff()) -> DataFrame:  # n
     return by_id.filter(cut.passed(F.col("period_end"), F.col("watermark_us"))).select("event_id")
 
 
-def corrected_periods(raw: DataFrame, cut: CutOff = CutOff(), lag_us: int = 6 * 60 * MINUTE) -> DataFrame:  # noqa: B008
+def corrected_periods(raw: DataFrame, cut: CutOff = CutOff(), lag_us: int = 6 * 60 * MINUTE, undated: bool = False) -> DataFrame:  # noqa: B008
     """The view as of the log's end: a first batch run 2 * lag_us before the last arrival, a second lag_us before, and the fast layer on top.
 
-    Columns: period_end (us), group, n, provisional, frozen."""
-    view, log = LambdaView(cut), read_log(raw)
+    With undated, ids without any readable arrival count in their period, in the batch layer. Columns: period_end (us), group, n, provisional, frozen."""
+    view, log = LambdaView(cut), read_log(raw, undated)
     firsts = written(view.firsts(view.stamped(log, written(view.closings(log), "closings"))), "firsts")
     end = firsts.agg(F.max("arrival_us")).first()[0] or 0
     state = written(view.refresh(None, firsts, F.lit(end - 2 * lag_us)), "periods")

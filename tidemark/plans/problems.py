@@ -18,7 +18,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_periods(spark: SparkSession, d: str) -> DataFrame:
-    rows = late.corrected_periods(table(spark, d, "impression_raw"))
+    """Impressions of ids with an arrival time, as its SQL has them."""
+    return _periods(late.corrected_periods(table(spark, d, "impression_raw")))
+
+
+def p1_periods_all(spark: SparkSession, d: str) -> DataFrame:
+    """p1_periods with the ids that have an event time but no readable arrival."""
+    return _periods(late.corrected_periods(table(spark, d, "impression_raw"), undated=True))
+
+
+def _periods(rows: DataFrame) -> DataFrame:
     start = wall_time(F.col("period_end") - MINUTE)
     return rows.select(start.alias("minute_start"), F.col("group").alias("campaign_id"), F.col("n").alias("impressions"), "provisional", "frozen")
 
@@ -58,7 +67,7 @@ def p5_impressions(spark: SparkSession, d: str) -> DataFrame:
     return redelivery.kept_once(table(spark, d, "src_impression"), "event_id", [arrival_us("server_ts")])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p2_found, p2_report, p3_found, p5_found, p5_outbox, p5_impressions)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p1_periods_all, p2_found, p2_report, p3_found, p5_found, p5_outbox, p5_impressions)}
 
 
 # --- the same in DuckDB's SQL -------------------------------------------------------------------------------------------------------
