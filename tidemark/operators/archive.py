@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.keys import plain_key
 from tidemark.schema import ARCHIVE
 
 RENAMED = {"late_flag": "_late", "dup_flag": "_dup"}
@@ -42,9 +43,10 @@ def partitions(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source_topic", "dt", "hour").agg(F.count("*").alias("n"), F.count_if("late_flag").alias("late"))
 
 
-def lookup(rows: DataFrame, dt: str, hours: list[str], having: dict[str, list]) -> DataFrame:
-    """Rows of some hours of a day whose columns are among the given values; on a written archive only those folders are read."""
+def lookup(rows: DataFrame, dt: str, hours: list[str], having: dict[str, list], plain: bool = False) -> DataFrame:
+    """Rows of some hours of a day whose columns are among the given values, as written or, if plain, as keys are compared; on a written archive only
+    those folders are read."""
     test = (F.col("dt") == dt) & F.col("hour").isin(*hours)
     for name, values in having.items():
-        test = test & F.col(name).isin(*values)
+        test = test & (plain_key(name).isin(*[v.strip(" \t\r\n").lower() for v in values]) if plain else F.col(name).isin(*values))
     return rows.filter(test)

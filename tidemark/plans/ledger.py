@@ -369,7 +369,18 @@ def _archive(spark, d) -> DataFrame:
 @query("""select event_id, ad_request_id, server_ts, 'ad.impression' as source_topic from src_impression where event_time >= timestamp '2024-02-05 03:00:00' and event_time < timestamp '2024-02-05 05:00:00'
  and campaign_id in ('cmp-4993', 'cmp-8500')""")
 def archive_lookup(spark, d):
-    return archive.lookup(_archive(spark, d), "2024-02-05", ["03", "04"], {"campaign_id": ["cmp-4993", "cmp-8500"]}).filter("source_topic = 'ad.impression'").select("event_id", "ad_request_id", "server_ts", "source_topic")
+    return _looked_up(spark, d, plain=False)
+
+
+@query()
+def archive_lookup_all(spark, d):
+    """archive_lookup with the rows whose campaign is written carelessly."""
+    return _looked_up(spark, d, plain=True)
+
+
+def _looked_up(spark, d, plain: bool) -> DataFrame:
+    rows = archive.lookup(_archive(spark, d), "2024-02-05", ["03", "04"], {"campaign_id": ["cmp-4993", "cmp-8500"]}, plain)
+    return rows.filter("source_topic = 'ad.impression'").select("event_id", "ad_request_id", "server_ts", "source_topic")
 
 
 # --- outbox ---------------------------------------------------------------------------------------------------------------------
@@ -442,9 +453,19 @@ left join (select event_id, min(watermark_at) as watermark_at from late_dropped
 where i.campaign_id = 'cmp-2193' and i.event_id is not null""")
 def trace_impressions(spark, d):
     """Impressions of a campaign through the stores: their response in the outbox and, if the window dropped them, at which watermark."""
-    rows = table(spark, d, "src_impression", "event_id", "campaign_id", "ad_request_id", "server_ts").filter("campaign_id = 'cmp-2193' and event_id is not null")
-    sent = table(spark, d, "event_outbox", "aggregate_id", "id").groupBy(plain_key("aggregate_id").alias("request")).agg(F.min("id").alias("outbox_id"))
+    return _traced(spark, d, F.col("campaign_id"), plain_key)
+
+
+@query()
+def trace_impressions_all(spark, d):
+    """trace_impressions with the rows whose campaign is written carelessly; placeholders are no request and are not looked up."""
+    return _traced(spark, d, plain_key("campaign_id"), request_key)
+
+
+def _traced(spark, d, campaign, request) -> DataFrame:
+    rows = table(spark, d, "src_impression", "event_id", "campaign_id", "ad_request_id", "server_ts").filter((campaign == "cmp-2193") & F.col("event_id").isNotNull())
+    sent = table(spark, d, "event_outbox", "aggregate_id", "id").groupBy(request("aggregate_id").alias("request")).agg(F.min("id").alias("outbox_id"))
     late = table(spark, d, "late_dropped", "event_id", "watermark_at").groupBy("event_id").agg(F.min("watermark_at").alias("watermark_at"))
     return (
-        rows.withColumn("request", plain_key("ad_request_id")).join(sent, "request", "left").join(late, "event_id", "left").select("event_id", "request", "server_ts", "outbox_id", "watermark_at")
+        rows.withColumn("request", request("ad_request_id")).join(sent, "request", "left").join(late, "event_id", "left").select("event_id", "request", "server_ts", "outbox_id", "watermark_at")
     )
