@@ -58,3 +58,17 @@ def test_dictionary_is_dense_and_grows(spark, data):
 def test_empty(spark):
     stored = _stored(spark.createDataFrame([], ROWS))
     assert distinct.count(distinct.union(stored, ["day"]), ["day"]).count() == 0
+
+
+def test_returning_on_every_day(spark):
+    import datetime
+    import random
+
+    rng = random.Random(4)
+    days = [None, *[datetime.date(2024, 2, x) for x in (27, 28, 29)], *[datetime.date(2024, 3, x) for x in (1, 2, 5, 6)]]
+    seen = {(rng.choice(days), rng.choice(["c", "d", None]), f"u{rng.randint(0, 60)}") for _ in range(900)}
+    rows = spark.createDataFrame(sorted(seen, key=str), "day date, c string, id string")
+    got = distinct.count(distinct.returning(distinct.buckets(rows, distinct.dictionary(rows), ["day", "c"]), "day", ["c"]), ["day", "c"])
+    users = lambda d, c: {u for x, y, u in seen if (x, y) == (d, c)}
+    want = {(d, c): len(users(d, c) & users(d + datetime.timedelta(days=1), c)) for d in days if d for c in ("c", "d", None)}
+    assert {(r.day, r.c): r.n_distinct for r in got.collect() if r.n_distinct} == {k: n for k, n in want.items() if n}

@@ -79,3 +79,11 @@ def intersection(stored: DataFrame, over: str, values: Sequence, dims: Sequence[
     each = union(stored.filter(F.col(over).isin(*values)), [*dims, over])
     both = each.groupBy(*dims, "bucket").agg(F.expr("bitmap_and_agg(bits)").alias("bits"), F.count("*").alias("have"))
     return both.filter(F.col("have") == len(set(values))).drop("have")
+
+
+def returning(stored: DataFrame, day: str, dims: Sequence[str] = ()) -> DataFrame:
+    """(*dims, day, bucket, bits) of the identifiers seen on a day and on the next, for every day."""
+    each = union(stored.filter(F.col(day).isNotNull()), [*dims, day])
+    pairs = each.select(*dims, F.explode(F.array(F.col(day), F.date_sub(day, 1))).alias(day), "bucket", "bits")
+    both = pairs.groupBy(*dims, day, "bucket").agg(F.expr("bitmap_and_agg(bits)").alias("bits"), F.count("*").alias("have"))
+    return both.filter("have = 2").drop("have")

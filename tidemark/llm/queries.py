@@ -41,6 +41,12 @@ def p4_returning(spark: SparkSession, d: str) -> DataFrame:
     return distinct.count(distinct.intersection(_user_buckets(spark, d), "day", days, ["campaign_id"]), ["campaign_id"]).filter("n_distinct > 0")
 
 
+def p4_returning_all(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct users by campaign that were seen on a day and on the next, for every day of the data."""
+    dims = ["day", "campaign_id"]
+    return distinct.count(distinct.returning(_user_buckets(spark, d), "day", ["campaign_id"]), dims).filter("n_distinct > 0")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return survivor.found(table(spark, d, "src_impression"))
 
@@ -73,7 +79,7 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.skeletons(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p4_distinct, p4_returning, p6_found, p6_merged, p7_ids, p8_mix, p8_shares, p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p4_distinct, p4_returning, p4_returning_all, p6_found, p6_merged, p7_ids, p8_mix, p8_shares, p9_found, p9_forms)}
 
 _PLAIN = "lower(trim({c}, ' ' || chr(9) || chr(10) || chr(13)))"
 _USERS = f"""users as (select cast(event_time as date) as day, {_PLAIN.format(c="campaign_id")} as campaign_id, {_PLAIN.format(c="user_id")} as u from src_impression
