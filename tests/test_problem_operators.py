@@ -206,6 +206,22 @@ def test_kept_once(spark, tmp_path, group):
     assert sorted(r[0] for r in again.collect()) == sorted(k for k, n in counts.items() if k and n > 1)
 
 
+@pytest.mark.parametrize("group", [8192, 4, 1])
+def test_reads_of_vectors_do_not_grow_with_their_groups(spark, tmp_path, group):
+    """One scan in the plan of the result; a group's job reads the files and the vectors of the group only."""
+    rows = [(f"e{i % 900}", (T0 + dt.timedelta(seconds=i)).isoformat(), "x", i, "p") for i in range(2000)]
+    df = _messages(spark, tmp_path / "m", rows, 12)
+    once = redelivery.Once(df, "event_id", [arrival_us("server_ts")], vectors_per_group=group)
+    assert once.groups == {8192: 1, 4: 3, 1: 12}[group]
+    got = once.read()
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation") == (2 if group == 8192 else 1)
+    assert sorted(r.marks for r in got.collect()) == list(range(900))
+    if once.groups > 1:
+        own = [{r[0] for r in df.filter(F.pmod(redelivery._file(), F.lit(once.groups)) == g).select("_metadata.file_path").collect()} for g in range(once.groups)]
+        assert sum(map(len, own)) == len(set().union(*own)) == 12
+        assert once.marks.groupBy("file").agg(F.count_distinct("part").alias("n")).filter("n != 1").count() == 0
+
+
 def test_kept_once_of_an_empty_table(spark, tmp_path):
     df = _messages(spark, tmp_path / "m", [], 1)
     assert redelivery.kept_once(df, "event_id", [F.col("server_ts")]).count() == 0

@@ -25,14 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[0]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, *parts: str) -> DataFrame:
     """df written once as parquet under shared_dir() and read back: cuts the lineage, survives lost executors, and gives
-    the planner true sizes. Fields keep their types; the rows' order is not kept."""
-    path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    the planner true sizes. Fields keep their types; the rows' order is not kept. parts: columns with a folder for each value."""
+    path = folder(df.sparkSession, name)
+    df.write.partitionBy(*parts).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder under shared_dir()."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
 
