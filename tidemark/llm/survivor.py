@@ -28,18 +28,21 @@ from pyspark.sql import functions as F
 from tidemark.functions.keys import arrival_us, plain_key, request_key
 from tidemark.llm.components import components
 from tidemark.operators.ranks import ranked
-from tidemark.operators.redelivery import kept_once
+from tidemark.operators.redelivery import Once
 from tidemark.storage import written
 
 FIELDS = ("creative_id", "session_id", "user_id", "device", "content_id", "ad_pod_id", "ad_slot", "ad_duration_s", "playhead_s")
 TRUST = ("server", "client")
 
 
-def records(impressions: DataFrame) -> DataFrame:
+def delivered(impressions: DataFrame) -> Once:
+    """The first delivery of each event id, for any number of reads."""
+    return Once(impressions, "event_id", [arrival_us("server_ts")])
+
+
+def records(deliveries: Once) -> DataFrame:
     """One narrow row per event id: event_id, request, twin, trust (0 best), filled (bit mask), missing (fields), age_us (smaller is later)."""
-    once = kept_once(
-        impressions, "event_id", [arrival_us("server_ts")], ["event_id", "ad_request_id", "ssai_twin_of", "source", "server_ts", *FIELDS]
-    ).filter("event_id is not null")
+    once = deliveries.read(["event_id", "ad_request_id", "ssai_twin_of", "source", "server_ts", *FIELDS]).filter("event_id is not null")
     source = plain_key("source")
     trust = F.coalesce(*[F.when(source == t, i) for i, t in enumerate(TRUST)], F.lit(len(TRUST)))
     mask = F.lit(0)
@@ -57,10 +60,17 @@ def _filled(df: DataFrame, f: str) -> Column:
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    """records() with their vertex: what all records of a group have in common."""
+    """The records() that may share a group with another, with their vertex: what all records of a group have in common.
+
+    Most records are alone. Those that are not have a request of several records or an end of a twin link; the hashes of these vertices pick them out,
+    so only they are joined and grouped. rows: a written table."""
     rows = rows.withColumn("vertex", F.coalesce(F.concat(F.lit("r:"), "request"), F.concat(F.lit("e:"), "event_id")))
     twins = rows.filter("twin is not null and twin != '' and twin != event_id").select("twin", F.col("vertex").alias("a"))
-    links = twins.join(rows.select(F.col("event_id").alias("twin"), F.col("vertex").alias("b")), "twin").select("a", "b")
+    links = written(twins.join(rows.select(F.col("event_id").alias("twin"), F.col("vertex").alias("b")), "twin").select("a", "b"), "links")
+    mark = F.xxhash64("vertex").alias("mark")
+    shared = rows.filter("request is not null").groupBy(mark).agg(F.count("*").alias("n")).filter("n > 1").select("mark")
+    ends = links.select(F.explode(F.array("a", "b")).alias("vertex")).select(mark)
+    rows = rows.withColumn("mark", mark).join(written(shared.unionAll(ends).distinct(), "marks"), "mark", "left_semi").drop("mark")
     roots = components(links)
     return rows.join(roots.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("vertex", F.coalesce("root", "vertex")).drop("root")
 
@@ -143,16 +153,16 @@ def survivors(groups: DataFrame) -> DataFrame:
 
 def found(impressions: DataFrame) -> DataFrame:
     """(group_id, survivor_id)."""
-    return survivors(layered(representatives(grouped(written(records(impressions), "records"))))).select("group_id", "survivor_id")
+    return survivors(layered(representatives(grouped(written(records(delivered(impressions)), "records"))))).select("group_id", "survivor_id")
 
 
 def merged(impressions: DataFrame, list_rows: int = 200_000) -> DataFrame:
     """The surviving records: group_id, survivor_id, n_records, n_filled (fields taken from others), and the fields."""
-    chosen = written(survivors(layered_whole(grouped(written(records(impressions), "records")), list_rows)), "survivors")
+    deliveries = delivered(impressions)
+    chosen = written(survivors(layered_whole(grouped(written(records(deliveries), "records")), list_rows)), "survivors")
     wanted = chosen.select("group_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"donors.{f}").alias("event_id")) for f in FIELDS])).alias("w"))
     wanted = wanted.select("group_id", "w.field", "w.event_id").filter("event_id is not null")
-    once = kept_once(impressions, "event_id", [arrival_us("server_ts")], ["event_id", *FIELDS])
-    given = wanted.join(once, "event_id").groupBy("group_id").agg(*[F.max(F.when(F.col("field") == f, F.col(f))).alias(f) for f in FIELDS])
+    given = wanted.join(deliveries.read(["event_id", *FIELDS]), "event_id").groupBy("group_id").agg(*[F.max(F.when(F.col("field") == f, F.col(f))).alias(f) for f in FIELDS])
     taken = [F.when(F.col(f"donors.{f}") != F.col("survivor_id"), 1).otherwise(0) for f in FIELDS]
     n_filled = taken[0]
     for t in taken[1:]:
