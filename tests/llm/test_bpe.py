@@ -63,3 +63,61 @@ def test_rows(spark, reference):
     counts = {r.doc_id: r.n_tokens for r in bpe.token_counts(df, "text", ["doc_id", "key"]).collect()}
     assert counts == {k: len(v) for k, v in got.items()}
     assert bpe.token_ids(df.limit(0)).count() == 0
+
+
+def test_every_merge_is_applied_once_in_rank_order():
+    rng = random.Random(3)
+    vocab = bpe.vocabulary(bpe.default_path())
+    words = sorted({"".join(rng.choice("the ing er on re at es") for _ in range(rng.randint(1, 12))) for _ in range(3000)} | {"aaaaa", " the", "internationalization"})
+    applied = []
+    ids, sizes = bpe.word_ids(vocab, words, applied)
+    assert applied == sorted(set(applied))
+    rows = [[int(vocab.byte_ids[b]) for b in w.encode()] for w in words]
+    order = np.argsort(vocab.ranks)
+    for rank in applied:  # the same, merge by merge over all words
+        pair = int(vocab.pairs[order[rank]])
+        for row in rows:
+            i = 0
+            while i + 1 < len(row):
+                if row[i] << 32 | row[i + 1] == pair:
+                    row[i : i + 2] = [int(vocab.made[rank])]
+                i += 1
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == rows
+
+
+def test_numbers_are_packed_and_unpacked():
+    codes = np.array([0, 1, 127, 128, 16383, 16384, 2**21 - 1, 2**21, 2**28 - 1, 5])
+    data, sizes = bpe.packed(codes)
+    back, last = bpe.unpacked(data)
+    assert back.tolist() == codes.tolist() and np.diff(np.append(-1, last)).tolist() == sizes.tolist() == [1, 1, 1, 2, 2, 3, 3, 4, 4, 1]
+    assert len(bpe.unpacked(bpe.packed(codes[:0])[0])[0]) == 0
+
+
+@pytest.mark.parametrize(("words", "symbols", "piece"), [(1_000_000, 8_000_000, 4_000_000), (40, 1, 300), (1, 1, 1)])
+def test_blocks_and_chunks_change_nothing(spark, reference, monkeypatch, words, symbols, piece):
+    monkeypatch.setattr(bpe, "BLOCK_WORDS", words)
+    monkeypatch.setattr(bpe, "SYMBOLS", symbols)
+    rng = random.Random(5)
+    texts = [None if rng.random() < 0.1 else " ".join(rng.choice(["the", "quick", "Straße", "你好", "a" * 50, "\n\n", "it's", "x1"]) for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    texts += ["word " * 9000, "", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.ids for r in bpe.token_ids(df, block=piece).collect()}
+    assert got == {i: reference.encode_ordinary(t or "") for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens for r in bpe.token_counts(df, "text", ["doc_id"], block=piece).collect()} == {k: len(v) for k, v in got.items()}
+
+
+def test_repeated_rows_and_null_keys(spark, reference):
+    rows = [(None, "same text"), (None, "same text"), (1, "same text"), (1, None)]
+    got = [(r.doc_id, r.ids) for r in bpe.token_ids(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(k, reference.encode_ordinary(t or "")) for k, t in rows], key=str)
+
+
+def test_query_over_all_documents(spark, reference):
+    from tidemark.llm import queries
+    from tidemark.sources.tables import table
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the test tables")
+    want = {r.doc_id: reference.encode_ordinary(r.text or "") for r in table(spark, folder, "documents", "doc_id", "text").collect()}
+    assert {r.doc_id: r.ids for r in queries.p7_ids(spark, folder).collect()} == want

@@ -1,14 +1,19 @@
-"""Token ids of every text by a public byte-level BPE vocabulary, by merge replay over whole blocks of the corpus.
+"""Token ids of every text by a public byte-level BPE vocabulary, by merge replay over the words of the whole corpus.
 
-A task takes its share of the corpus in blocks of up to `BLOCK` characters (one longer text is a block of its own). In a
-block, all texts are split into words at once by array operations on their code points; equal words become one. The distinct words are
-laid out as one chain of symbols, and an inverted index holds, for each band of merge ranks, the positions whose symbol pair has a
-rank in it. Merges are replayed from the index in rank order: an applied merge touches the merged symbol and its left neighbour only,
-and just those pairs are looked up and indexed again. Every distinct word of a block is thus encoded once, however often it occurs,
-and a word of any length costs in proportion to its symbols. Nothing is shuffled and nothing grows with the corpus.
+1. Words. A task splits its share of the corpus into words, by array operations on the code points of pieces of `PIECE` characters. Equal words of a block
+(up to `BLOCK_CHARS` characters or `BLOCK_WORDS` different words of a task's share, or one longer text) have one number in it. Written are, by document, the
+numbers of its words (1 to 4 bytes each), and, by block, its different words.
+2. Replay. The blocks' words are brought together by word and sorted, so each different word of the corpus is encoded once, however often and wherever it
+occurs. An inverted index maps every token pair to the positions of words where it stands. Merges are applied in rank order: each takes all its positions from
+the index, and touches the merged symbol and its left neighbour only; just those pairs are looked up and indexed again. A task replays its words in
+chunks of `SYMBOLS` bytes, so memory does not depend on the vocabulary of the corpus.
+3. Texts. The words' ids go back to their blocks, and each text's ids are put together from them.
 
-The vocabulary file (a tokenizer JSON with its merge list) is read by each Python worker from `path`, a parameter; it has the
-same path on every machine.
+What is shuffled are the blocks' different words, their ids, and the documents' word numbers, not the texts. A word has at most one row from each block, so
+none is hot. A block is at most `BLOCK_CHARS` characters or one text: no task's memory depends on the corpus.
+
+The vocabulary file (a tokenizer JSON with its merge list) is read on the driver from `path`, a parameter; executors get its tables, whose size is that of the
+vocabulary.
 
 Cases. A null and an empty text have no ids. Special tokens' strings are ordinary text. Repeated documents are repeated rows;
 other columns are not read.
@@ -16,6 +21,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 import sys
@@ -30,15 +36,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.shipping import shipped
-
-#: Characters that are encoded together.
-BLOCK = 6_000_000
+from tidemark.storage import written
+
+#: Characters that are split at once.
+PIECE = 4_000_000
+#: A block ends at so many characters or different words.
+BLOCK_CHARS, BLOCK_WORDS = 24_000_000, 1_000_000
+#: Bytes of words that are replayed together.
+SYMBOLS = 8_000_000
 #: Ids in one batch of the result.
 OUT_IDS = 1_000_000
 #: Words whose characters are handled at once.
 WORDS = 150_000
-#: Bands of merge ranks in the index.
-BANDS = 24
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 NONE = np.int32(2**31 - 1)
@@ -137,78 +146,79 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def replay(vocab: Vocabulary, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """symbols: the byte ids of all words, one after another; sizes: how many each word has (1 or more). The merged ids and sizes."""
+def replay(vocab: Vocabulary, symbols: np.ndarray, sizes: np.ndarray, applied: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """symbols: the byte ids of all words, one after another; sizes: how many each word has (1 or more). The merged ids and sizes.
+
+    A mergeable pair is named by its rank. applied: gets the ranks in the order in which they were applied."""
     n = len(symbols)
     sym = symbols.astype(np.int32)
-    word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    index = np.arange(n, dtype=np.int32)
-    after, before = index + 1, index - 1
+    after = np.arange(1, n + 1, dtype=np.int32)
+    before = np.arange(-1, n - 1, dtype=np.int32)
     stops = np.cumsum(sizes)
     after[stops - 1] = -1
     before[stops - sizes] = -1
     rank = np.full(n, NONE, np.int32)
     inner = np.flatnonzero(after >= 0)
     rank[inner] = vocab.rank(sym[inner], sym[inner + 1])
-    known = inner[rank[inner] != NONE].astype(np.int32)
-    if not len(known):
-        return sym, sizes
-    # the bands' limits: as many first positions in each
-    limits = np.unique(np.append(np.quantile(rank[known], np.linspace(0, 1, BANDS + 1)[1:-1]).astype(np.int64), len(vocab.made)))
-    band_of = np.searchsorted(limits, np.arange(len(vocab.made)), side="right").astype(np.int16)
-    postings: list[list[np.ndarray]] = [[] for _ in range(len(limits) + 1)]
+    index: dict[int, list[np.ndarray]] = {}  # from a pair to the positions where it was found
+    due: list[int] = []
 
     def post(at: np.ndarray) -> None:
-        b = band_of[rank[at]]
-        order = np.argsort(b, kind="stable")
-        at, b = at[order], b[order]
-        cuts = np.flatnonzero(np.diff(b)) + 1
-        for part, k in zip(np.split(at, cuts), b[np.r_[0, cuts]], strict=True):
-            postings[k].append(part)
-
-    post(known)
+        if len(at) == 1:
+            cuts, pairs = [at], [int(rank[at[0]])]
+        else:
+            r = rank[at]
+            order = np.argsort(r, kind="stable")
+            at, r = at[order], r[order]
+            heads = np.flatnonzero(r[1:] != r[:-1]) + 1
+            edges = [0, *heads.tolist(), len(at)]
+            cuts = [at[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+            pairs = r[np.r_[0, heads]].tolist()
+        for pair, part in zip(pairs, cuts, strict=True):
+            have = index.get(pair)
+            if have is None:
+                index[pair] = [part]
+                heapq.heappush(due, pair)
+            else:
+                have.append(part)
+
+    known = inner[rank[inner] != NONE].astype(np.int32)
+    if len(known):
+        post(known)
     alive = np.ones(n, bool)
-    for k in range(len(postings)):
-        if not postings[k]:
+    while due:
+        pair = heapq.heappop(due)
+        found = index.pop(pair)
+        at = found[0] if len(found) == 1 else _union(*found)
+        at = at[rank[at] == pair]  # the others were merged away since
+        if not len(at):
             continue
-        at = _union(*postings[k])
-        postings[k] = []
-        at = at[rank[at] != NONE]
-        at = at[band_of[rank[at]] == k]
-        while len(at):
-            r, w = rank[at], word[at]
-            heads = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            lowest = np.repeat(np.minimum.reduceat(r, heads), np.diff(np.r_[heads, len(at)]))
-            sel = at[r == lowest]
-            if len(sel) > 1:  # of pairs that overlap (a run of one symbol), every second from the left
-                chained = np.r_[False, after[sel[:-1]] == sel[1:]]
-                if chained.any():
-                    place = np.arange(len(sel))
-                    place = place - np.maximum.accumulate(np.where(chained, 0, place))
-                    sel = sel[place % 2 == 0]
-            gone = after[sel]
-            beyond = after[gone]
-            sym[sel] = vocab.made[rank[sel]]
-            after[sel] = beyond
-            has = beyond >= 0
-            before[beyond[has]] = sel[has]
-            alive[gone] = False
-            rank[gone] = NONE
-            left = before[sel]
-            left = left[left >= 0]
-            touched = _union(left, sel)
-            touched = touched[alive[touched]]
-            end = after[touched] < 0
-            rank[touched[end]] = NONE
-            touched = touched[~end]
+        if len(at) > 1:  # of pairs that overlap (a run of one symbol), every second from the left
+            chained = after[at[:-1]] == at[1:]
+            if chained.any():
+                place = np.arange(len(at))
+                place = place - np.maximum.accumulate(np.where(np.r_[False, chained], 0, place))
+                at = at[place % 2 == 0]
+        if applied is not None:
+            applied.append(pair)
+        gone = after[at]
+        beyond = after[gone]
+        sym[at] = vocab.made[pair]
+        after[at] = beyond
+        inside = beyond >= 0
+        before[beyond[inside]] = at[inside]
+        alive[gone] = False
+        rank[gone] = NONE
+        rank[at[~inside]] = NONE
+        left = before[at]
+        left = left[left >= 0]
+        touched = _union(left, at[inside])
+        if len(touched):
             rank[touched] = vocab.rank(sym[touched], sym[after[touched]])
-            fresh = touched[rank[touched] != NONE]
-            mine = band_of[rank[fresh]] <= k
-            if not mine.all():
-                post(fresh[~mine])
-            at = _union(at, fresh[mine])
-            at = at[rank[at] != NONE]
-            at = at[band_of[rank[at]] <= k]
+            touched = touched[rank[touched] != NONE]
+            if len(touched):
+                post(touched)
+    word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     return sym[alive], np.bincount(word[alive], minlength=len(sizes))
 
 
@@ -218,32 +228,51 @@ def _union(*parts: np.ndarray) -> np.ndarray:
     return at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
 
 
-def encode(vocab: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the texts, one text after another, and how many each text has."""
+def split(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """The texts' words, one text after another, as numbers; the different words by number; how many words each text has."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    counts = np.zeros(len(texts), np.int64)
     if not lengths.sum():
-        return np.zeros(0, np.int32), counts
-    cp = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        return np.zeros(0, np.int64), [], np.zeros(len(texts), np.int64)
+    text = "".join(texts)
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum(lengths)
     start = np.flatnonzero(word_starts(cp, np.unique(ends[lengths > 0])))
     sizes = np.diff(np.append(start, len(cp)))
     codes, heads = _same_words(cp, start, sizes)
-    ids, of_word = _encode_words(vocab, cp, start[heads], sizes[heads])
-    offsets = np.cumsum(of_word) - of_word
-    per = of_word[codes]
-    words_before = np.searchsorted(start, ends)  # words of the texts up to each
+    words = [text[s : s + z] for s, z in zip(start[heads].tolist(), sizes[heads].tolist(), strict=True)]
+    return codes, words, np.diff(np.append(0, np.searchsorted(start, ends)))
+
+
+def word_ids(vocab: Vocabulary, words: list[str], applied: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the (non-empty) words, one word after another, and how many each word has."""
+    data = [w.encode() for w in words]
+    sizes = np.fromiter(map(len, data), np.int64, len(data))
+    return replay(vocab, vocab.byte_ids[np.frombuffer(b"".join(data), np.uint8)], sizes, applied)
+
+
+def gathered(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids, sizes: of the words by number; codes: the texts' words. All ids of the texts and how many each has."""
+    offsets = np.cumsum(sizes) - sizes
+    per = sizes[codes]
     totals = np.append(0, np.cumsum(per))
-    counts = np.diff(np.append(0, totals[words_before]))
+    counts = np.diff(totals[np.append(0, np.cumsum(per_text))])
     out = np.empty(totals[-1], np.int32)
     for i in range(0, len(codes), WORDS):
-        low, high = totals[i], totals[min(i + WORDS, len(codes))]
-        flat = np.repeat(offsets[codes[i : i + WORDS]] - totals[i : min(i + WORDS, len(codes))], per[i : i + WORDS])
-        flat += np.arange(low, high)
-        out[low:high] = ids[flat]
+        j = min(i + WORDS, len(codes))
+        flat = np.repeat(offsets[codes[i:j]] - totals[i:j], per[i:j])
+        flat += np.arange(totals[i], totals[j])
+        out[totals[i] : totals[j]] = ids[flat]
     return out, counts
 
 
+def encode(vocab: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts, one text after another, and how many each text has: the same in one process."""
+    codes, words, per_text = split(texts)
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+    return gathered(*word_ids(vocab, words), codes, per_text)
+
+
 def _same_words(cp: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A number for each word, equal for equal words, and where each number first occurs.
 
@@ -278,84 +307,196 @@ def _same_words(cp: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> tuple[n
     return codes, heads
 
 
-def _encode_words(vocab: Vocabulary, cp: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    flat = np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-    chars = cp[flat]
-    data = np.frombuffer(chars.tobytes().decode("utf-32-le").encode("utf-8"), np.uint8)
-    width = 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
-    return replay(vocab, vocab.byte_ids[data], np.add.reduceat(width, np.cumsum(sizes) - sizes))
+def packed(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below 2^28 as 1 to 4 bytes of 7 bits, the highest first, all but the last with the top bit set; and the bytes of each."""
+    size = 1 + (codes >= 1 << 7).astype(np.int64) + (codes >= 1 << 14) + (codes >= 1 << 21)
+    last = np.cumsum(size) - 1
+    out = np.empty(int(size.sum()), np.uint8)
+    out[last] = codes & 127
+    for k in (1, 2, 3):
+        more = size > k
+        out[last[more] - k] = (codes[more] >> 7 * k) & 127 | 128
+    return out, size
+
 
+def unpacked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of packed() and where each ends."""
+    last = np.flatnonzero(data < 128)
+    size = np.diff(np.append(-1, last))
+    codes = data[last].astype(np.int32)
+    for k in (1, 2, 3):
+        more = size > k
+        codes[more] |= (data[last[more] - k] & 127).astype(np.int32) << 7 * k
+    return codes, last
 
-def _blocks(batches: Iterable[pa.RecordBatch], block: int) -> Iterator[tuple[list, list[str]]]:
-    keys: list = []
+
+def cut(documents: DataFrame, piece: int = PIECE) -> DataFrame:
+    """documents (key, text): the rows (block, key, codes) of documents and (block, code, word) of the blocks' different words, in one table, written."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    shipped(documents.sparkSession)
+    kind = documents.schema["key"].dataType
+    arrow = to_arrow_type(kind)
+    names = ["block", "code", "word", "key", "codes"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        numbers: dict[str, int] = {}
+        chars = 0
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            words = list(numbers)
+            for i in range(0, len(words), WORDS):
+                part = words[i : i + WORDS]
+                n = len(part)
+                code = pa.array(np.arange(i, i + n, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), code, pa.array(part, pa.string()), pa.nulls(n, arrow), pa.nulls(n, pa.binary())], names)
+
+        for keys, texts in _pieces(batches, piece):
+            codes, words, per_text = split(texts)
+            size = sum(map(len, texts))
+            if numbers and (chars + size > BLOCK_CHARS or len(numbers) > BLOCK_WORDS):
+                yield from ended()
+                block, numbers, chars = block + 1, {}, 0
+            chars += size
+            own = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+            data, bytes_of = packed(own[codes] if len(words) else codes)
+            ends = np.append(0, np.cumsum(bytes_of))[np.append(0, np.cumsum(per_text))]
+            n = len(texts)
+            column = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.concat_arrays(keys), column], names)
+        yield from ended()
+
+    rows = documents.select("key", "text").mapInArrow(run, f"block bigint, code int, word string, key {kind.simpleString()}, codes binary")
+    return written(rows, "words")
+
+
+def _pieces(batches: Iterable[pa.RecordBatch], piece: int) -> Iterator[tuple[list[pa.Array], list[str]]]:
+    keys: list[pa.Array] = []
     texts: list[str] = []
     size = 0
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            keys.append(key)
-            texts.append(text or "")
-            size += len(texts[-1])
-            if size >= block:
-                yield keys, texts
-                keys, texts, size = [], [], 0
-    if keys:
+        i = 0
+        new = [t or "" for t in batch.column(1).to_pylist()]
+        for j, t in enumerate(new, 1):
+            size += len(t)
+            if size >= piece:
+                yield [*keys, batch.column(0).slice(i, j - i)], [*texts, *new[i:j]]
+                keys, texts, size, i = [], [], 0, j
+        if i < len(new):
+            keys.append(batch.column(0).slice(i))
+            texts += new[i:]
+    if texts:
         yield keys, texts
 
 
-def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, block: int = BLOCK) -> DataFrame:
-    """(key, ids): the ids of each text."""
-    shipped(documents.sparkSession)
-    path = path or default_path()
-    kind = documents.schema[key].dataType
+def replayed(words: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
+    """The ids of every word of cut(): (block, numbers, sizes, ids), one row for the words of a block that were replayed together."""
+    spark = words.sparkSession
+    shipped(spark)
+    shared = spark.sparkContext.broadcast(Vocabulary(path or default_path()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        vocab = vocabulary(path)
-        for keys, texts in _blocks(batches, block):
-            ids, counts = encode(vocab, texts)
-            stop = np.append(0, np.cumsum(counts))
-            i = 0
-            while i < len(keys):
-                j = max(i + 1, int(np.searchsorted(stop, stop[i] + OUT_IDS, side="right")) - 1)
-                offsets = pa.array((stop[i : j + 1] - stop[i]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(ids[stop[i] : stop[j]]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i:j], to_arrow_type(kind)), lists], ["key", "ids"])
-                i = j
-
-    out = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind.simpleString()}, ids array<int>")
+        vocab = shared.value
+        for block, code, word in _chunks(batches, SYMBOLS):
+            new = np.array([True, *(a != b for a, b in zip(word[1:], word, strict=False))])
+            ids, sizes = word_ids(vocab, [w for w, n in zip(word, new, strict=True) if n])
+            of = np.cumsum(new) - 1
+            order = np.argsort(block, kind="stable")
+            block, code, of = block[order], code[order], of[order]
+            heads = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1]
+            flat, per = gathered(ids, sizes, of, np.diff(np.append(heads, len(of))))
+            rows = np.append(heads, len(of)).astype(np.int32)
+            lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32)))
+            columns = [pa.array(block[heads]), lists(rows, code), lists(rows, sizes[of]), lists(np.append(0, np.cumsum(per)), flat)]
+            if not with_ids:
+                columns[3] = pa.array([[]] * len(heads), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(columns, ["block", "numbers", "sizes", "ids"])
+
+    rows = words.filter("word is not null").select("block", "code", "word").repartition("word").sortWithinPartitions("word")
+    return rows.mapInArrow(run, "block bigint, numbers array<int>, sizes array<int>, ids array<int>")
+
+
+def _chunks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """Rows (block, code, word), as many whole batches together as it takes for `most` bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray, list[str]]:
+        table = pa.Table.from_batches(held)
+        return table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).to_pylist()
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        size += batch.column(2).get_total_buffer_size()
+        if size >= most:
+            yield joined()
+            held, size = [], 0
+    if held:
+        yield joined()
+
+
+def _values(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks)])
+
+
+def _block(docs: pa.Table, words: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one block: ids and sizes of its words by number, the documents' words, and how many each document has."""
+    numbers, sizes = _values(words["numbers"]), _values(words["sizes"]).astype(np.int64)
+    ids = _values(words["ids"])
+    starts = np.cumsum(sizes) - sizes
+    order = np.argsort(numbers, kind="stable")
+    own = sizes[order]
+    if len(ids):
+        flat = np.repeat(starts[order] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+        ids = ids[flat]
+    column = docs["codes"].combine_chunks()
+    column = column.chunks[0] if isinstance(column, pa.ChunkedArray) else column
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    codes, last = unpacked(data)
+    return ids, own, codes, np.diff(np.searchsorted(last, ends - ends[0]))
+
+
+def _sides(cut_rows: DataFrame, path: str | None, with_ids: bool):
+    docs = cut_rows.filter("codes is not null").select(F.col("block").alias("at"), "key", "codes")
+    return docs.groupBy("at").cogroup(replayed(cut_rows, path, with_ids).groupBy("block"))
+
+
+def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, block: int = PIECE) -> DataFrame:
+    """(key, ids): the ids of each text. block: characters that are split at once."""
+    kind = documents.schema[key].dataType
+
+    def put_together(docs: pa.Table, words: pa.Table) -> pa.Table:
+        flat, counts = gathered(*_block(docs, words))
+        stop = np.append(0, np.cumsum(counts))
+        keys = docs["key"].combine_chunks()
+        out, i = [], 0
+        while i < len(keys):
+            j = max(i + 1, int(np.searchsorted(stop, stop[i] + OUT_IDS, side="right")) - 1)
+            lists = pa.ListArray.from_arrays(pa.array((stop[i : j + 1] - stop[i]).astype(np.int32)), pa.array(flat[stop[i] : stop[j]]))
+            out.append(pa.RecordBatch.from_arrays([keys.slice(i, j - i), lists], ["key", "ids"]))
+            i = j
+        return pa.Table.from_batches(out)
+
+    rows = cut(documents.select(F.col(key).alias("key"), F.col(text).alias("text")), block)
+    out = _sides(rows, path, True).applyInArrow(put_together, f"key {kind.simpleString()}, ids array<int>")
     return out.select(F.col("key").alias(key), "ids")
 
 
-def token_counts(documents: DataFrame, text: str, columns: list[str], path: str | None = None, block: int = BLOCK) -> DataFrame:
+def token_counts(documents: DataFrame, text: str, columns: list[str], path: str | None = None, block: int = PIECE) -> DataFrame:
     """The columns and n_tokens, as many as token_ids() lists for the row's text."""
-    shipped(documents.sparkSession)
-    path = path or default_path()
-    fields = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
-        held: list[pa.RecordBatch] = []
-        texts: list[str] = []
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            counts = encode(vocab, texts)[1]
-            done = 0
-            for b in held:
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(columns))), pa.array(counts[done : done + len(b)])], [*columns, "n_tokens"])
-                done += len(b)
-
-        for batch in batches:
-            new = ["" if t is None else t for t in batch.column(len(columns)).to_pylist()]
-            held.append(batch.select(list(range(len(columns)))))
-            texts += new
-            size += sum(map(len, new))
-            if size >= block:
-                yield from flush()
-                held, texts, size = [], [], 0
-        if held:
-            yield from flush()
-
-    wanted = documents.select(*[F.col(c) for c in columns], F.col(text).alias("tidemark_text"))
-    return wanted.mapInArrow(run, f"{fields}, n_tokens bigint")
+    def counted(docs: pa.Table, words: pa.Table) -> pa.Table:
+        _, sizes, codes, per_text = _block(docs, words)
+        totals = np.append(0, np.cumsum(sizes[codes] if len(codes) else codes.astype(np.int64)))
+        return pa.table({"key": docs["key"], "n_tokens": np.diff(totals[np.append(0, np.cumsum(per_text))])})
+
+    packed_columns = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    rows = cut(documents.select(packed_columns.alias("key"), F.col(text).alias("text")), block)
+    out = _sides(rows, path, False).applyInArrow(counted, f"key {rows.schema['key'].dataType.simpleString()}, n_tokens bigint")
+    return out.select(*[F.col(f"key.c{i}").alias(c) for i, c in enumerate(columns)], "n_tokens")
