@@ -77,7 +77,7 @@ def replay(events: DataFrame, roll: Roll = Roll()) -> DataFrame:  # noqa: B008
     Progress reports come by a topic that the roll-up does not read: they do not move the watermark."""
     rows = kinds(events.filter("event_type != 'progress'")).withColumn("event_us", wall_us("event_time")).withColumn("arrival_us", wall_us("arrival_time"))
     view = LambdaView(CutOff(roll.window_us, roll.delay_us, 0, SECOND // 1000))
-    closings = view.closings(rows.select("event_us", "arrival_us").filter("arrival_us is not null"))
+    closings = written(view.closings(rows.select("event_us", "arrival_us").filter("arrival_us is not null")), "closings")
     kept = deliveries(rows.filter("kind is not null"), roll.ttl_us)
     kept = view.stamped(kept, closings)
     return kept.withColumn("late", F.coalesce(F.col("arrival_us") > F.col("closes_us"), F.lit(False))).withColumnRenamed("period_end", "window_end_us")
