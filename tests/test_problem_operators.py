@@ -185,6 +185,28 @@ def test_ledger_follows_changes(spark):
     assert {r.key for r in state.collect()} == {"b"}
 
 
+def test_a_maintained_ledger_reports_as_one_of_whole_tables(spark):
+    i, c, r, o = _tables(spark)
+    want = sorted(map(str, references.impression_references(i, c, r, o).collect()))
+    state = references.ledger(*references.changes(i.filter("event_id < '3'"), c, r.filter("campaign_id is null"), o.limit(0)))
+    state = references.ledger(state, *references.changes(i.filter("event_id >= '3' or event_id is null"), rates=r.filter("campaign_id is not null"), outbox=o), *references.changes(campaigns=c.limit(0), rates=c))
+    state = references.ledger(state, *references.changes(rates=c, sign=-1), *references.changes(i), *references.changes(i, sign=-1))
+    assert sorted(map(str, references.offending(state, i, c, r).collect())) == want
+
+
+def test_both_sides_of_the_join_to_records_are_shuffles(spark):
+    """So Spark can split a hot key; without statistics for a broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = references.orphan_report(references.impression_references(*_tables(spark)))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = [x.strip(" :+-") for x in plan.splitlines()]
+    join = next(i for i, x in enumerate(lines) if "SortMergeJoin" in x)
+    sides = [i for i, x in enumerate(lines) if i > join and x.startswith("Sort ")]
+    assert len(sides) == 2 and all(lines[i + 1].startswith("Exchange hashpartitioning(key") for i in sides)
+
+
 def test_references_on_empty_tables(spark):
     i, c, r, o = (t.limit(0) for t in _tables(spark))
     assert references.impression_references(i, c, r, o).count() == 0

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.keys import MINUTE, arrival_us, floor_to, plain_key, wall_time, wall_us
 from tidemark.operators import compare, late, redelivery, references
 from tidemark.sources.tables import table
+from tidemark.storage import written
 
 SETTLED_FIELDS = ["minute_ts", "campaign_id", "impressions", "raw_impressions", "clicks", "completes", "requests"]
 
@@ -44,6 +45,15 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_report(_references(spark, d))
 
 
+def p2_maintained(spark: SparkSession, d: str) -> DataFrame:
+    """p2_found from a stored ledger: half of the impressions and a rate for every campaign come first, then the other half, and those rates are taken back."""
+    impressions, campaigns, rates, outbox = (table(spark, d, t) for t in ("src_impression", "campaigns", "campaign_rates", "event_outbox"))
+    half = F.pmod(F.xxhash64("event_id"), F.lit(2))
+    state = written(references.ledger(*references.changes(impressions.filter(half == 0), campaigns, rates, outbox), *references.changes(rates=campaigns)), "ledger")
+    state = written(references.ledger(state, *references.changes(impressions.filter(half == 1)), *references.changes(rates=campaigns, sign=-1)), "ledger")
+    return references.orphan_records(references.offending(state, impressions, campaigns, rates))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     keys = {"minute_epoch": F.floor(floor_to(wall_us("minute_ts"), MINUTE) / 1_000_000), "campaign_id": plain_key("campaign_id")}
     return compare.differences(table(spark, d, "minute_settlement"), table(spark, d, "minute_settlement_copy"), keys, SETTLED_FIELDS)
@@ -67,7 +77,7 @@ def p5_impressions(spark: SparkSession, d: str) -> DataFrame:
     return redelivery.kept_once(table(spark, d, "src_impression"), "event_id", [arrival_us("server_ts")])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p1_periods_all, p2_found, p2_report, p3_found, p5_found, p5_outbox, p5_impressions)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p1_periods_all, p2_found, p2_report, p2_maintained, p3_found, p5_found, p5_outbox, p5_impressions)}
 
 
 # --- the same in DuckDB's SQL -------------------------------------------------------------------------------------------------------
@@ -150,6 +160,7 @@ select make_timestamp(pe - 60000000) as minute_start, campaign_id, cast(count(*)
 from firsts left join closing using (pe), fin where pe is not null group by pe, campaign_id having count(*) filter (where not rejected) > 0""",
     "p2_found": f"with {_REFS} select distinct table_name, record_id, ref_field, status from refs where record_id is not null",
     "p2_report": f"with {_REFS} select table_name, ref_field, status, cast(event_time as date) as event_day, cast(count(*) as bigint) as n_references from refs group by all",
+    "p2_maintained": f"with {_REFS} select distinct table_name, record_id, ref_field, status from refs where record_id is not null",
     "p3_found": f"with a as ({_side('minute_settlement')}), b as ({_side('minute_settlement_copy')}) {_P3}",
     "p5_found": f"""select 'src_impression' as table_name, event_id, server_ts as kept from ({_KEPT}) where n > 1 and rn = 1
 union all select 'event_outbox', event_id, cast(min(id) as varchar) from event_outbox where event_id is not null group by event_id having count(*) > 1""",
