@@ -35,6 +35,38 @@ def test_no_ascii_character_is_replaced():
     assert all(len(unicodedata.normalize("NFKD", c)) == 1 for s in skeleton.LOOK_ALIKES.values() for c in s if c != "‑")
 
 
+def test_the_table_covers_the_public_data(spark):
+    """Letters whose prototype in the public data is one ASCII letter, in all scripts but Latin: nine of ten must have it here, no two ASCII characters become alike."""
+    table = skeleton.prototypes(spark)
+    letters = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c)[0] == "L"]
+    looks = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton(0, "\n".join(letters)).split("\n")
+    wanted = {c: p for c, p in zip(letters, looks, strict=True) if len(p) == 1 and p.isascii() and p.isalpha() and p != c}
+    alike = {c for c, p in wanted.items() if skeleton.skeleton(c, table) in ({"l", "I", "i"} if p in "li" else {p})}
+    other = {c for c in wanted if not unicodedata.name(c, "?").startswith("LATIN")}
+    assert len(wanted) > 1000 and len(alike & other) >= 0.97 * len(other) and len(alike) >= 0.9 * len(wanted)
+    text = "".join(map(chr, range(0x21, 0x7F)))
+    assert skeleton.skeleton(text, table) == text and not any(c.isascii() for c in table)
+    assert all(skeleton.skeleton(skeleton.skeleton(c, table), table) == skeleton.skeleton(c, table) for c in letters)
+
+
+@pytest.mark.parametrize(("a", "b"), ALIKE + [("Γ", "Г"), ("к", "κ"), ("ロ", "口"), ("へ", "ヘ"), ("MAP", "ⲘАР"), ("SO", "𐐠𐐄")])
+def test_alike_by_the_table(spark, a, b):
+    table = skeleton.prototypes(spark)
+    assert a != b and skeleton.skeleton(a, table) == skeleton.skeleton(b, table)
+
+
+@pytest.mark.parametrize(("a", "b"), DIFFERENT + [("З", "3"), ("Ι", "l"), ("и", "й"), ("ö", "o"), ("ø", "o"), ("ß", "B"), ("é", "è"), ("ı", "í")])
+def test_different_by_the_table(spark, a, b):
+    table = skeleton.prototypes(spark)
+    assert skeleton.skeleton(a, table) != skeleton.skeleton(b, table)
+
+
+def test_members_of_classes(spark):
+    rows = [(5, "abc", None), (3, "аbc", None), (9, "abc", None), (1, "x", None), (2, "x", None), (7, None, None), (8, " ", None)]
+    got = {tuple(r) for r in skeleton.alike_members(skeleton.digests(spark.createDataFrame(rows, DOCS))).collect()}
+    assert got == {(k, 3, 3, 2) for k in (3, 5, 9)}
+
+
 def test_pairs_against_all_pairs(spark):
     rng = random.Random(2)
     forms = ["abc", "аbc", "ａbc", "abc ", "abd", "Abc", None, "", "  ", "x" * 5000, "ｘ" * 5000]

@@ -69,9 +69,17 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def _looks(spark: SparkSession, d: str) -> DataFrame:
+    return written(skeleton.digests(table(spark, d, "documents", "doc_id", "text")), "digests")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    marks = written(skeleton.digests(table(spark, d, "documents", "doc_id", "text")), "digests")
-    return skeleton.alike_pairs(marks).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+    return skeleton.alike_pairs(_looks(spark, d)).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per document that looks like a different text, with its class."""
+    return skeleton.alike_members(_looks(spark, d)).withColumnRenamed("key", "doc_id")
 
 
 def p9_forms(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +87,7 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.skeletons(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p4_distinct, p4_returning, p4_returning_all, p6_found, p6_merged, p7_ids, p8_mix, p8_shares, p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p4_distinct, p4_returning, p4_returning_all, p6_found, p6_merged, p7_ids, p8_mix, p8_shares, p9_found, p9_classes, p9_forms)}
 
 _PLAIN = "lower(trim({c}, ' ' || chr(9) || chr(10) || chr(13)))"
 _USERS = f"""users as (select cast(event_time as date) as day, {_PLAIN.format(c="campaign_id")} as campaign_id, {_PLAIN.format(c="user_id")} as u from src_impression
