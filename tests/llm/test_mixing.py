@@ -48,6 +48,60 @@ def test_a_given_size(spark, tables):
     assert all(r.status == "met" and abs(r.reached_tokens - 1000) < 130 for s, r in got.items() if s != "absent")
 
 
+def test_the_largest_size_at_which_shares_are_reached(spark, tables):
+    _, df, mix = tables
+    m = mixing.mixture(df, mix, size_tokens=mixing.REACHABLE)
+    got = {(r.mix_name, r.source): r for r in mixing.shares(m.copies, m.docs, m.goals, mixing.REACHABLE, tolerance=0.02).collect()}
+    for (name, source), r in got.items():
+        if source == "absent":
+            assert r.status == "no documents" and r.attainable_share == 0
+        else:
+            assert abs(r.reached_share - r.attainable_share) <= 0.02 * r.attainable_share
+            assert r.status == ("over" if name == "even" else "met") and r.most_copies <= r.max_repeats
+    tight = min((r for r in got.values() if r.mix_name == "even" and r.available), key=lambda r: r.available * r.max_repeats)
+    assert tight.source == "tiny" and abs(tight.reached_tokens - tight.available * tight.max_repeats) <= 130
+    plain = {(r.mix_name, r.source): r.status for r in mixing.shares(m.copies, m.docs, m.goals, tolerance=0.02).collect()}
+    assert plain["even", "absent"] == "no documents"
+
+
+def test_marginals_against_pandas(spark, tables):
+    _, df, mix = tables
+    m = mixing.mixture(df, mix, size_tokens=mixing.REACHABLE)
+    docs, copies, goals = m.docs.toPandas(), m.copies.toPandas(), m.goals.toPandas()
+    got = {(r.mix_name, r.axis, r.value): r for r in mixing.marginals(m.copies, m.docs, m.goals).collect()}
+    for (name, axis, value), r in got.items():
+        own = docs[docs.source.isin(goals[goals.mix_name == name].source)]
+        mine = copies[copies.mix_name == name]
+        assert r.target_share == pytest.approx(own[own[axis].astype(str) == value].n_tokens.sum() / own.n_tokens.sum())
+        weight = mine.n_tokens * mine.copies
+        assert r.reached_share == pytest.approx(weight[mine[axis].astype(str) == value].sum() / weight.sum()) and r.residual == pytest.approx(r.reached_share - r.target_share)
+    assert {a for _, a, _ in got} == {"lang", "topic"}
+
+
+def test_topics_separate_vocabularies_and_reach_every_row(spark):
+    rng = random.Random(9)
+    kinds = ["invoice payment total amount due bank", "football match goal team player score", "recipe flour butter oven sugar bake"]
+    rows = [(i, " ".join(rng.choice(kinds[i % 3].split()) for _ in range(40)), "x") for i in range(90)]
+    rows += [(100, None, "x"), (101, "", "x"), (102, "1 2 3 -- !", "x"), (None, "goal goal team", "x"), (103, "sugar " * 50_000, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, features string")
+    got = mixing.with_topic(df)
+    assert got.columns == ["doc_id", "text", "features", "topic"]
+    topics = {r.doc_id: r.topic for r in got.collect()}
+    assert len(topics) == len(rows) and None not in topics.values()
+    of_kind = [{topics[i] for i in range(k, 90, 3)} for k in range(3)]
+    assert all(not of_kind[a] & of_kind[b] for a in range(3) for b in range(a))
+    assert {r.doc_id: r.topic for r in mixing.with_topic(df.repartition(5)).collect()} == topics
+    assert mixing.with_topic(df.filter("doc_id > 100 and doc_id < 103")).count() == 2 and mixing.with_topic(df.limit(0)).count() == 0
+
+
+def test_topics_of_the_caller(spark, tables):
+    from pyspark.sql import functions as F
+
+    _, df, mix = tables
+    m = mixing.mixture(df, mix, topic=F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 3))
+    assert {r.topic for r in m.docs.select("topic").distinct().collect()} == {-1, 1, 2}
+
+
 def test_raking_reaches_the_marginals():
     cells = pd.DataFrame({"mix_name": "m", "source": list("aabb"), "lang": ["x", "y", "x", "y"], "topic": 0, "tokens": [100, 300, 300, 100], "target_share": [0.5, 0.5, 0.5, 0.5], "max_repeats": 4})
     w = mixing._rake(cells).rate.to_numpy() * cells.tokens.to_numpy()

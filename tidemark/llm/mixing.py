@@ -7,12 +7,15 @@ weight by its tokens is the expected number of copies of each of its documents:
 by systematic sampling over the documents in order of size, so that each has its probability and the tokens of a source keep within
 one document (of each part of 200,000) of the target.
 
-The size of a mix is the tokens of its sources' documents, unless size_tokens says another. A source that cannot reach its target even at
-max_repeats comes out at that, and is named; the others keep their targets.
+The size of a mix is the tokens of its sources' documents, unless size_tokens says another, or REACHABLE: the largest size at which every source with
+documents reaches its target under its cap. Otherwise a source that cannot reach its target even at max_repeats comes out at that, and is named; the others
+keep their targets. Shares are judged by what was reached: `met` within `tolerance` of the target, `short` below, `over` above (where others
+fall short or have no documents).
 
-Languages are two letters or `und`, topics are `TOPICS` hash classes of the mailbox's local part, so a mix has a bounded number of
-cells per source whatever the data hold; cells are raked in one task per mix. Running sums are taken within parts of bounded
-size and offset by the sums of the parts before, so a source with a third of all documents is no hot task.
+Languages are two letters or `und`. Topics are a column of the caller, or `TOPICS` clusters of the texts' words: k-means over hashed, inversely weighted word
+counts, fitted on a sample of about `SAMPLE_ROWS` documents (taken by hash of the id, from all documents with text), and every document gets the cluster
+nearest to its whole text. So a mix has a bounded number of cells per source whatever the data hold; cells are raked in one task per mix. Running sums are taken
+within parts of bounded size and offset by the sums of the parts before, so a source with a third of all documents is no hot task.
 
 Cases. Sources are compared in lower case and without surrounding white space; documents of null or other sources are in no mix. Documents
 without tokens are never drawn. Shares are divided by their sum; a negative or null share is 0, a null max_repeats is 1. A source that is
@@ -22,9 +25,11 @@ documents are separate rows with separate ids. Sampling is by hash of the id: th
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import plain_key
@@ -33,6 +38,9 @@ from tidemark.shipping import shipped
 from tidemark.storage import table_bytes, written
 
 TOPICS = 16
+#: Documents that the topics are fitted on, about, and numbers that words are hashed to.
+SAMPLE_ROWS, FEATURES = 5_000, 4_096
+REACHABLE = "reachable"
 ROUNDS = 60
 UNIT = 10_000_000
 #: Documents of one part of a running sum, about.
@@ -54,32 +62,64 @@ def targets(mix_targets: DataFrame) -> DataFrame:
     return rows.join(whole, "mix_name").select("mix_name", "source", F.coalesce(F.try_divide("share", "whole"), F.lit(0.0)).alias("target_share"), "max_repeats")
 
 
-def sized(documents: DataFrame, goals: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens) of the documents that any mix names."""
-    lang, local = plain_key("lang"), F.substring_index(plain_key("mailbox"), "@", 1)
+def with_topic(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """documents with a topic, from 0 on, for every row (in place of a column of that name). The clusters depend on the rows, not on their order or partitions."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer
+
+    found = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w).between(3, 15))
+    counts = HashingTF(inputCol="tidemark_words", outputCol="tidemark_counts", numFeatures=FEATURES)
+    rows = counts.transform(documents.withColumn("tidemark_words", found))
+    n = documents.count()
+    part = F.pmod(F.xxhash64(key), F.lit(1_000_000)) < max(1, round(1_000_000 * SAMPLE_ROWS / max(n, 1)))
+    sample = counts.transform(documents.filter(F.coalesce(part, F.lit(False)) & (F.trim(text) != "")).select(key, found.alias("tidemark_words")))
+    sample = written(sample.select(key, "tidemark_counts"), "sample")
+    if sample.isEmpty():
+        return documents.withColumn("topic", F.lit(0))
+    weigh = IDF(inputCol="tidemark_counts", outputCol="tidemark_weights").fit(sample)
+    level = Normalizer(inputCol="tidemark_weights", outputCol="tidemark_features")
+    points = written(level.transform(weigh.transform(sample)).groupBy("tidemark_features").agg(F.min(key).alias(key)), "points")  # each different one once
+    k = min(TOPICS, points.count())
+    if k < 2:
+        return documents.withColumn("topic", F.lit(0))
+    points = points.repartition(1).sortWithinPartitions(F.xxhash64(key), key)
+    model = KMeans(k=k, seed=1, maxIter=10, initMode="random", featuresCol="tidemark_features", predictionCol="tidemark_topic").fit(points)
+    placed = model.transform(level.transform(weigh.transform(rows)))
+    return placed.select(*[c for c in documents.columns if c != "topic"], F.col("tidemark_topic").alias("topic"))
+
+
+def sized(documents: DataFrame, goals: DataFrame, path: str | None = None, topic: Column | None = None) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens) of the documents that any mix names. topic: an integer of the caller's for each document."""
+    lang = plain_key("lang")
     docs = documents.select(
         "doc_id", "text", plain_key("source").alias("source"), F.when(lang.rlike("^[a-z]{2}$"), lang).otherwise("und").alias("lang"),
-        F.pmod(F.xxhash64(local), F.lit(TOPICS)).cast("int").alias("topic"),
+        *([] if topic is None else [F.coalesce(topic, F.lit(-1)).cast("int").alias("topic")]),
     )
     docs = docs.join(_small(goals.select("source").distinct()), "source", "left_semi")
+    docs = docs if topic is not None else with_topic(docs)
     return token_counts(docs, "text", ["doc_id", "source", "lang", "topic"], path)
 
 
-def cells(docs: DataFrame, goals: DataFrame, size_tokens: int | None = None) -> DataFrame:
+def cells(docs: DataFrame, goals: DataFrame, size_tokens: int | str | None = None) -> DataFrame:
     """(mix_name, source, lang, topic, rate): the expected copies of each document of the cell."""
     shipped(docs.sparkSession)
     sums = docs.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens")).filter("tokens > 0")
     return sums.join(goals, "source").groupBy("mix_name").applyInPandas(lambda rows: _rake(rows, size_tokens), "mix_name string, source string, lang string, topic int, rate double")
 
 
-def _rake(cells: pd.DataFrame, size_tokens: int | None = None) -> pd.DataFrame:
+def _rake(cells: pd.DataFrame, size_tokens: int | str | None = None) -> pd.DataFrame:
     cells = cells.sort_values(["source", "lang", "topic"], ignore_index=True)
     tokens = cells.tokens.to_numpy(float)
     most = tokens * cells.max_repeats.to_numpy(float)
     source, lang, topic = (pd.factorize(cells[c])[0] for c in ("source", "lang", "topic"))
     total = tokens.sum()
-    goal = cells.groupby(source).target_share.first().to_numpy(float) * (size_tokens or total)
-    goal = np.minimum(goal, np.bincount(source, most))
+    share, limit = cells.groupby(source).target_share.first().to_numpy(float), np.bincount(source, most)
+    if size_tokens == REACHABLE:
+        asked = np.min(np.divide(limit, share, out=np.full_like(share, np.inf), where=share > 0))
+        asked = asked if np.isfinite(asked) else 0.0
+    else:
+        asked = size_tokens or total
+    goal = np.minimum(share * asked, limit)
     size = goal.sum()
     weight = tokens.copy()
     for _ in range(ROUNDS):
@@ -118,7 +158,7 @@ def _exact(weight: np.ndarray, axis: np.ndarray, goal: np.ndarray, most: np.ndar
 
 
 def drawn(docs: DataFrame, rates: DataFrame) -> DataFrame:
-    """(mix_name, source, doc_id, n_tokens, copies) of every document that is drawn at least once. docs and rates: written tables."""
+    """(mix_name, source, lang, topic, doc_id, n_tokens, copies) of every document that is drawn at least once. docs and rates: written tables."""
     salts = max(1, -(-docs.count() // PART_ROWS))
     rows = docs.filter("n_tokens > 0").join(_small(rates), ["source", "lang", "topic"])
     rows = rows.withColumn("whole", F.floor("rate")).withColumn("part_units", F.round((F.col("rate") - F.col("whole")) * UNIT).cast("bigint"))
@@ -130,30 +170,67 @@ def drawn(docs: DataFrame, rates: DataFrame) -> DataFrame:
     within = Window.partitionBy(*place).orderBy("n_tokens", "lang", "topic", F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(offsets, place).withColumn("sum", F.col("offset") + F.sum("part_units").over(within) + UNIT // 2)
     extra = F.expr(f"(sum div {UNIT}) - ((sum - part_units) div {UNIT})")
-    return rows.select("mix_name", "source", "doc_id", "n_tokens", (F.col("whole") + extra).cast("int").alias("copies")).filter("copies > 0")
+    return rows.select("mix_name", "source", "lang", "topic", "doc_id", "n_tokens", (F.col("whole") + extra).cast("int").alias("copies")).filter("copies > 0")
 
 
-def shares(copies: DataFrame, docs: DataFrame, goals: DataFrame, size_tokens: int | None = None) -> DataFrame:
-    """What each source was to reach and reached: status `met`, `short` (its documents at max_repeats don't suffice) or `no documents`.
+def shares(copies: DataFrame, docs: DataFrame, goals: DataFrame, size_tokens: int | str | None = None, tolerance: float | None = None) -> DataFrame:
+    """What each source was to reach and reached.
 
-    reached_share is of the mix as it came out, target_tokens of the size asked for."""
+    reached_share is of the mix as it came out, target_tokens of the size asked for. attainable_share is the target among the sources that have
+    documents. status goes by reached against target share if there is a tolerance (a part of the target): `met`, `short`, `over` or `no documents`. Without
+    one it says whether the documents at max_repeats suffice for target_tokens: `met`, `short` or `no documents`."""
     have = docs.groupBy("source").agg(F.sum("n_tokens").alias("available"))
     got = copies.groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("reached_tokens"), F.max("copies").alias("most_copies"))
     rows = goals.join(have, "source", "left").join(got, ["mix_name", "source"], "left").na.fill(0, ["available", "reached_tokens", "most_copies"])
-    whole = Window.partitionBy("mix_name")
-    rows = rows.withColumn("target_tokens", F.col("target_share") * (F.lit(size_tokens) if size_tokens else F.sum("available").over(whole)))
-    status = F.when((F.col("available") == 0) & (F.col("target_share") > 0), "no documents").when(
-        F.col("available") * F.col("max_repeats") < F.col("target_tokens"), "short"
-    ).otherwise("met")
-    reached = F.coalesce(F.try_divide("reached_tokens", F.sum("reached_tokens").over(whole)), F.lit(0.0))
+    whole, some = Window.partitionBy("mix_name"), (F.col("available") > 0) & (F.col("target_share") > 0)
+    if size_tokens == REACHABLE:
+        size = F.coalesce(F.min(F.when(some, F.col("available") * F.col("max_repeats") / F.col("target_share"))).over(whole), F.lit(0.0))
+    else:
+        size = F.lit(size_tokens) if size_tokens else F.sum("available").over(whole)
+    rows = rows.withColumn("target_tokens", F.col("target_share") * size)
+    rows = rows.withColumn("reached_share", F.coalesce(F.try_divide("reached_tokens", F.sum("reached_tokens").over(whole)), F.lit(0.0)))
+    rows = rows.withColumn("attainable_share", F.when(some, F.col("target_share") / F.sum(F.when(some, F.col("target_share"))).over(whole)).otherwise(F.lit(0.0)))
+    none = F.when((F.col("available") == 0) & (F.col("target_share") > 0), "no documents")
+    if tolerance is None:
+        status = none.when(F.col("available") * F.col("max_repeats") < F.col("target_tokens"), "short")
+    else:
+        status = none.when(F.col("reached_share") < F.col("target_share") * (1 - tolerance), "short").when(F.col("reached_share") > F.col("target_share") * (1 + tolerance), "over")
     return rows.select(
-        "mix_name", "source", "target_share", reached.alias("reached_share"), "target_tokens", "reached_tokens", "available", "max_repeats", "most_copies", status.alias("status")
+        "mix_name", "source", "target_share", "attainable_share", "reached_share", "target_tokens", "reached_tokens", "available", "max_repeats", "most_copies", status.otherwise("met").alias("status")
     )
 
 
-def mixed(documents: DataFrame, mix_targets: DataFrame, path: str | None = None, size_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The drawn documents and the shares of every mix."""
+def marginals(copies: DataFrame, docs: DataFrame, goals: DataFrame) -> DataFrame:
+    """(mix_name, axis, value, target_share, reached_share, residual): the languages' and topics' shares of tokens among the documents of a mix's
+    sources, and what the drawn copies reached under the sources' targets and caps. residual is reached less target."""
+    axes = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("string").alias("value")) for a in ("lang", "topic")])).alias("at")
+    own = docs.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("own")).join(goals.select("mix_name", "source"), "source")
+    got = copies.groupBy("mix_name", "lang", "topic").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("got"))
+    zero = F.lit(0).cast("bigint")
+    both = own.select("mix_name", "lang", "topic", "own", zero.alias("got")).unionByName(got.select("mix_name", "lang", "topic", zero.alias("own"), "got"))
+    sums = both.select("mix_name", axes, "own", "got").groupBy("mix_name", "at.axis", "at.value").agg(F.sum("own").alias("own"), F.sum("got").alias("got"))
+    whole = Window.partitionBy("mix_name", "axis")
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.sum(c).over(whole)), F.lit(0.0))
+    rows = sums.select("mix_name", "axis", "value", share("own").alias("target_share"), share("got").alias("reached_share"))
+    return rows.withColumn("residual", F.col("reached_share") - F.col("target_share"))
+
+
+@dataclass(frozen=True)
+class Mixture:
+    """Written tables of mixes: goals, sized documents and drawn copies."""
+
+    goals: DataFrame
+    docs: DataFrame
+    copies: DataFrame
+
+
+def mixture(documents: DataFrame, mix_targets: DataFrame, path: str | None = None, size_tokens: int | str | None = None, topic: Column | None = None) -> Mixture:
     goals = written(targets(mix_targets), "goals")
-    docs = written(sized(documents, goals, path), "sized")
-    copies = written(drawn(docs, written(cells(docs, goals, size_tokens), "rates")), "copies")
-    return copies, shares(copies, docs, goals, size_tokens)
+    docs = written(sized(documents, goals, path, topic), "sized")
+    return Mixture(goals, docs, written(drawn(docs, written(cells(docs, goals, size_tokens), "rates")), "copies"))
+
+
+def mixed(documents: DataFrame, mix_targets: DataFrame, path: str | None = None, size_tokens: int | str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The drawn documents and the shares of every mix."""
+    m = mixture(documents, mix_targets, path, size_tokens)
+    return m.copies.drop("lang", "topic"), shares(m.copies, m.docs, m.goals, size_tokens)

@@ -59,14 +59,26 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.token_ids(table(spark, d, "documents", "doc_id", "text"))
 
 
+def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
+    """Every mix at the largest size at which its sources reach their shares."""
+    return mixing.mixture(table(spark, d, "documents", "doc_id", "text", "source", "lang"), table(spark, d, "mix_targets"), size_tokens=mixing.REACHABLE)
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     """The documents of each mix and how often each is taken."""
-    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return _mixture(spark, d).copies.select("mix_name", "source", "doc_id", "n_tokens", "copies")
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Target and reached shares by mix and source."""
-    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    """Target and reached shares by mix and source, met within a hundredth of the target."""
+    m = _mixture(spark, d)
+    return mixing.shares(m.copies, m.docs, m.goals, mixing.REACHABLE, tolerance=0.01)
+
+
+def p8_marginals(spark: SparkSession, d: str) -> DataFrame:
+    """The languages' and topics' own and reached shares by mix."""
+    m = _mixture(spark, d)
+    return mixing.marginals(m.copies, m.docs, m.goals)
 
 
 def _looks(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +99,7 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.skeletons(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p4_distinct, p4_returning, p4_returning_all, p6_found, p6_merged, p7_ids, p8_mix, p8_shares, p9_found, p9_classes, p9_forms)}
+QUERIES = {f.__name__: f for f in (p4_distinct, p4_returning, p4_returning_all, p6_found, p6_merged, p7_ids, p8_mix, p8_shares, p8_marginals, p9_found, p9_classes, p9_forms)}
 
 _PLAIN = "lower(trim({c}, ' ' || chr(9) || chr(10) || chr(13)))"
 _USERS = f"""users as (select cast(event_time as date) as day, {_PLAIN.format(c="campaign_id")} as campaign_id, {_PLAIN.format(c="user_id")} as u from src_impression
