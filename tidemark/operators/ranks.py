@@ -1,4 +1,4 @@
-"""Places of rows within their key, also where one key has a large part of all rows."""
+"""Places of rows within their key, and maxima of all that came before, also where one key or all rows are one order."""
 
 from __future__ import annotations
 
@@ -35,3 +35,17 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: i
     starts = rows.groupBy(*keys).agg(F.min("place").alias("start")).select(*named, "start")
     rows = rows.join(starts, same(rows, starts)).withColumn("rank", F.col("place") - F.col("start"))
     return calm.unionByName(rows.select(*calm.columns))
+
+
+def before_max(df: DataFrame, order: str, values: Sequence[str], part_rows: int = 1_000_000) -> DataFrame:
+    """df with before_<value>: for each value its greatest in the rows before, in ascending order; null where there is none. order tells all rows apart.
+
+    Rows are put into ranges of about part_rows; the maxima within a range and those of the ranges before it are found apart, so no task sorts everything."""
+    n = max(1, -(-df.count() // part_rows))
+    rows = written(df.repartitionByRange(n, order).withColumn("range", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy("range").agg(*[F.max(v).alias(f"top_{v}") for v in values])
+    over = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("range", *[F.max(f"top_{v}").over(over).alias(f"top_{v}") for v in values])
+    rows = rows.join(tops, "range").withColumns({f"before_{v}": F.greatest(F.max(v).over(inside), F.col(f"top_{v}")) for v in values})
+    return rows.drop("range", *[f"top_{v}" for v in values])

@@ -6,6 +6,7 @@ Windows and late records together are exactly the deduplicated log."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import MINUTE, SECOND, floor_to, wall_time, wall_us
 from tidemark.operators.late import CutOff, LambdaView
-from tidemark.operators.ranks import ranked
+from tidemark.operators.ranks import before_max, ranked
 from tidemark.sources.ingest import topic
 from tidemark.storage import written
 
@@ -123,3 +124,78 @@ def late_events(replayed: DataFrame) -> DataFrame:
 def lateness_histogram(lateness_ms: Column, rows: DataFrame, step_ms: int = 10_000) -> DataFrame:
     """Records by lateness in steps."""
     return rows.groupBy((F.floor(lateness_ms / step_ms) * step_ms).alias("from_ms")).agg(F.count("*").alias("n"))
+
+
+# --- the records of the sinks -------------------------------------------------------------------------------------------------------
+
+# The topic that a late record of a kind came by.
+ORIGIN = {"impression": "ad.impression", "click": "ad.click", "request": "ad.request"}
+LOW_RATIO = "low_impression_ratio"
+
+
+def watermarks(log: DataFrame, delay_us: int, part_rows: int = 1_000_000) -> DataFrame:
+    """(arrival_us, watermark_us) for every instant of arrival: the greatest event time of all that arrived strictly before, less the delay. log: event_us, arrival_us."""
+    instants = log.filter("arrival_us is not null").groupBy("arrival_us").agg(F.max("event_us").alias("event_us"))
+    return before_max(instants, "arrival_us", ["event_us"], part_rows).select("arrival_us", (F.col("before_event_us") - delay_us).alias("watermark_us"))
+
+
+def source_watermarks(log: DataFrame, sources: Sequence[str], delay_us: int, idle_us: int, part_rows: int = 1_000_000) -> DataFrame:
+    """(arrival_us, watermark_us) where each of a few sources (topics, or partitions of topics) has a watermark of its own. log: source, event_us, arrival_us.
+
+    The watermark is the smallest of the sources' own, without those that are idle: nothing of theirs arrived for idle_us (counted from the log's first
+    arrival where none ever did). It never recedes when an idle source comes back, and is null before there is one. Other sources are not read."""
+    log = log.filter(F.col("source").isin(*sources) & F.col("arrival_us").isNotNull())
+    of = lambda i, c: F.max(F.when(F.col("source") == sources[i], F.col(c)))
+    columns = [x for i in range(len(sources)) for x in (of(i, "event_us").alias(f"event_{i}"), of(i, "arrival_us").alias(f"seen_{i}"))]
+    instants = log.groupBy("arrival_us").agg(*columns)
+    rows = before_max(instants, "arrival_us", [f"{c}_{i}" for i in range(len(sources)) for c in ("event", "seen")], part_rows)
+    begin = log.agg(F.min("arrival_us")).scalar()
+    awake = [F.coalesce(F.col(f"before_seen_{i}"), begin) + idle_us > F.col("arrival_us") for i in range(len(sources))]
+    held = F.lit(False)
+    for i, a in enumerate(awake):  # a source that is awake and has no event time yet holds the watermark back
+        held = held | (a & F.col(f"before_event_{i}").isNull())
+    lowest = F.array_min(F.array_compact(F.array(*[F.when(a, F.col(f"before_event_{i}")) for i, a in enumerate(awake)])))
+    rows = rows.select("arrival_us", F.when(~held, lowest - delay_us).alias("own_us"))
+    rows = before_max(rows, "arrival_us", ["own_us"], part_rows)
+    return rows.select("arrival_us", F.greatest("own_us", "before_own_us").alias("watermark_us"))
+
+
+def late_records(replayed: DataFrame, marks: DataFrame) -> DataFrame:
+    """The late records in full. marks: as by watermarks() of the same log. lateness_ms is how far the watermark was past the event, in whole seconds."""
+    late = replayed.filter("late").select("event_id", "kind", "campaign_id", "ad_request_id", "event_us", "window_end_us", "arrival_us")
+    lateness = F.expr("(watermark_us - event_us) div 1000000") * 1000
+    origin = F.coalesce(*[F.when(F.col("kind") == k, t) for k, t in ORIGIN.items()], F.lit("ad.quartile"))
+    return late.join(marks, "arrival_us").select(
+        "event_id", F.col("kind").alias("event_type"), "campaign_id", "ad_request_id", wall_time(F.col("event_us")).alias("event_time"), wall_time(F.col("window_end_us")).alias("window_end"),
+        wall_time(F.col("watermark_us")).alias("watermark_at"), lateness.alias("lateness_ms"), origin.alias("topic_origin"),
+    )
+
+
+def minute_records(windows: DataFrame, campaigns: DataFrame, emitted_at: Column, roll: Roll = Roll()) -> DataFrame:  # noqa: B008
+    """The windows in full, with their campaign's advertiser and name."""
+    end = F.timestamp_add("MICROSECOND", F.lit(roll.window_us), F.col("window_start"))
+    return enriched(windows, campaigns).select(
+        "window_start", end.alias("window_end"), "campaign_id", "advertiser", "campaign_name", "impressions", "clicks", "completes", "requests", "imp_req_ratio", "ssai_dupes", emitted_at.alias("emitted_at")
+    )
+
+
+def alert_records(windows: DataFrame, detected_at: Column, threshold: float = 0.5, min_requests: int = 5, roll: Roll = Roll()) -> DataFrame:  # noqa: B008
+    """The alerts in full."""
+    end = F.timestamp_add("MICROSECOND", F.lit(roll.window_us), F.col("window_start"))
+    return alerts(windows, threshold, min_requests).select(
+        F.lit(LOW_RATIO).alias("alert_type"), "campaign_id", "window_start", end.alias("window_end"), "impressions", "requests", "imp_req_ratio", F.lit(threshold).alias("threshold"),
+        F.concat(F.lit("impressions per request below "), F.lit(str(threshold))).alias("message"), detected_at.alias("detected_at"),
+    )
+
+
+def as_messages(records: DataFrame, key: str) -> DataFrame:
+    """Records as (key, value) for a topic: value is their JSON, nulls written, times in ISO notation with milliseconds."""
+    return records.select(F.col(key).alias("key"), F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS"}).alias("value"))
+
+
+def no_fill_ratio(events: DataFrame, *by: Column) -> DataFrame:
+    """Responses without an ad among all responses, once for each id; null without responses."""
+    once = events.filter("event_type = 'ad_response' and event_id is not null").groupBy(*by, "event_id").agg(F.bool_or("fill").alias("fill"))
+    names = [c for c in once.columns if c not in ("event_id", "fill")]
+    empty = F.count_if(~F.coalesce(F.col("fill"), F.lit(False)))
+    return once.groupBy(*names).agg(F.count("*").alias("responses"), empty.alias("no_fill"), F.try_divide(empty, F.count("*")).alias("no_fill_ratio"))

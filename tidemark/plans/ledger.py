@@ -173,6 +173,78 @@ def rt_dedup_ttl(spark, d):
     return kept.groupBy("event_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("kept"), F.count("*").alias("ids"))
 
 
+def _raw_log(spark, d) -> DataFrame:
+    """impression_raw as the roll-up reads it; rows without event time are in no window."""
+    null = lambda t: F.lit(None).cast(t)
+    return table(spark, d, "impression_raw").filter("event_time is not null").select(
+        null("bigint").alias("n"), "event_id", "event_type", plain_key("campaign_id").alias("campaign_id"), request_key("ad_request_id").alias("ad_request_id"), null("string").alias("quartile"),
+        null("boolean").alias("fill"), "ssai_twin_of", "event_time", wall_time(arrival_us("server_ts")).alias("arrival_time"),
+    )
+
+
+_RAW = f"""with recursive log as materialized (select event_id, lower(event_type) as kind, {sql_plain("campaign_id")} as campaign_id, {sql_request("ad_request_id")} as ad_request_id,
+ case when ssai_twin_of is not null then 1 else 0 end as twin, epoch_us(event_time) as et, {sql_arrival("server_ts")} as arr from impression_raw where event_time is not null),
+instants as (select arr, max(et) as m from log where arr is not null group by arr),
+marks as (select arr, max(m) over (order by arr rows between unbounded preceding and 1 preceding) - 10000000 as wm from instants),
+rows as materialized (select * from log where arr is not null and event_id is not null and campaign_id is not null and kind in ('impression', 'ad_impression')),
+chain(event_id, arr) as (select event_id, min(arr) from rows group by event_id
+ union all select c.event_id, min(r.arr) from chain c join rows r on r.event_id = c.event_id and r.arr >= c.arr + 3600000000 group by c.event_id),
+kept as (select * from (select r.*, row_number() over (partition by r.event_id, r.arr order by campaign_id, twin, et, ad_request_id nulls first) as rn from rows r join chain c on r.event_id = c.event_id and r.arr = c.arr) where rn = 1),
+rt as (select k.*, wm, et - et % 60000000 + 60000000 as we, coalesce(wm >= et - et % 60000000 + 59999000, false) as late from kept k join marks using (arr)),
+win as (select make_timestamp(we - 60000000) as window_start, campaign_id, cast(count(*) as bigint) as impressions, cast(0 as bigint) as clicks, cast(0 as bigint) as completes, cast(0 as bigint) as requests,
+ cast(sum(twin) as bigint) as ssai_dupes from rt where not late group by all)"""
+
+
+@query(f"""{_RAW}, dim as (select {sql_plain("campaign_id")} as campaign_id, min(advertiser) as advertiser, min(name) as campaign_name from campaigns group by 1)
+select window_start, window_start + interval 1 minute as window_end, campaign_id, advertiser, campaign_name, impressions, clicks, completes, requests, cast(null as double) as imp_req_ratio, ssai_dupes,
+ timestamp '{NOW}' as emitted_at from win left join dim using (campaign_id)""")
+def rt_minute_records(spark, d):
+    """The real-time job's minutes of impression_raw with its default parameters, in full."""
+    windows = realtime.window_counts(realtime.replay(_raw_log(spark, d)))
+    return realtime.minute_records(windows, table(spark, d, "campaigns"), F.lit(NOW).cast("timestamp_ntz"))
+
+
+@query(f"""{_RAW} select event_id, 'impression' as event_type, campaign_id, ad_request_id, make_timestamp(et) as event_time, make_timestamp(we) as window_end, make_timestamp(wm) as watermark_at,
+ cast((wm - et) // 1000000 * 1000 as bigint) as lateness_ms, 'ad.impression' as topic_origin from rt where late""")
+def rt_late_records(spark, d):
+    """What the real-time job's windows dropped of impression_raw, in full."""
+    log = _raw_log(spark, d)
+    times = log.select(wall_us("event_time").alias("event_us"), wall_us("arrival_time").alias("arrival_us"))
+    return realtime.late_records(realtime.replay(log), realtime.watermarks(times, Roll().delay_us))
+
+
+@query(f"""{_RAW} select cast(l // 10000 * 10000 as bigint) as from_ms, cast(count(*) as bigint) as n from (select (wm - et) // 1000000 * 1000 as l from rt where late) group by 1""")
+def rt_late_records_hist(spark, d):
+    """Late records by how far the watermark was past them, in steps of ten seconds."""
+    return realtime.lateness_histogram(F.col("lateness_ms"), rt_late_records(spark, d))
+
+
+@query(f"""{_RT} select '{realtime.LOW_RATIO}' as alert_type, campaign_id, window_start, window_start + interval 1 hour as window_end, impressions, requests, cast(impressions as double) / requests as imp_req_ratio,
+ cast(0.9 as double) as threshold, 'impressions per request below 0.9' as message, timestamp '{NOW}' as detected_at from win where requests >= 2 and cast(impressions as double) / requests < 0.9""")
+def rt_alert_records(spark, d):
+    return realtime.alert_records(realtime.window_counts(_replay(spark, d), HOURLY), F.lit(NOW).cast("timestamp_ntz"), 0.9, 2, HOURLY)
+
+
+@query(f"""{_WITH}, l as (select case event_type when 'impression' then 'ad.impression' when 'click' then 'ad.click' when 'quartile' then 'ad.quartile' when 'ad_response' then 'ad.request' end as source,
+ epoch_us(event_time) as et, epoch_us(arrival_time) as arr from ad where event_type <> 'progress'),
+i as (select arr, {", ".join(f"max(et) filter (where source = '{t}') as e{k}, max(arr) filter (where source = '{t}') as s{k}" for k, t in enumerate(("ad.impression", "ad.click", "ad.quartile", "ad.request")))} from l group by arr),
+b as (select arr, {", ".join(f"max(e{k}) over w as e{k}, coalesce(max(s{k}) over w, (select min(arr) from l)) + 3600000000 > arr as a{k}" for k in range(4))} from i window w as (order by arr rows between unbounded preceding and 1 preceding)),
+o as (select arr, case when not ({" or ".join(f"(a{k} and e{k} is null)" for k in range(4))}) then least({", ".join(f"case when a{k} then e{k} end" for k in range(4))}) - 600000000 end as own from b)
+select make_timestamp(arr) as arrival_time, make_timestamp(max(own) over (order by arr)) as watermark_at from o""")
+def rt_source_watermarks(spark, d):
+    """The watermark at each arrival as the smallest of the topics' own, a topic without arrivals for an hour left out."""
+    log = _ad(spark, d).filter("event_type != 'progress'").select(ingest.topic(F.col("event_type")).alias("source"), wall_us("event_time").alias("event_us"), wall_us("arrival_time").alias("arrival_us"))
+    log = log.withColumn("source", F.coalesce("source", F.lit("ad.request")))
+    marks = realtime.source_watermarks(log, ["ad.impression", "ad.click", "ad.quartile", "ad.request"], HOURLY.delay_us, 60 * MINUTE)
+    return marks.select(wall_time(F.col("arrival_us")).alias("arrival_time"), wall_time(F.col("watermark_us")).alias("watermark_at"))
+
+
+@query(f"""{_WITH}, r as (select date_trunc('day', event_time) as day, event_id, bool_or(fill) as fill from ad where event_type = 'ad_response' group by all)
+select day, cast(count(*) as bigint) as responses, cast(count(*) filter (where not coalesce(fill, false)) as bigint) as no_fill, cast(count(*) filter (where not coalesce(fill, false)) as double) / count(*) as no_fill_ratio from r group by day""")
+def rt_no_fill(spark, d):
+    return realtime.no_fill_ratio(_ad(spark, d), F.date_trunc("day", "event_time").cast("timestamp_ntz").alias("day"))
+
+
 # --- reconciliation --------------------------------------------------------------------------------------------------------------
 
 _RECON = f"""{_RT},
@@ -307,6 +379,45 @@ def ingest_route(spark, d):
     return ingest.split(_raw_events(spark, d), F.lit(NOW_MS)).valid.groupBy("topic", "key").agg(F.count("*").alias("n"))
 
 
+def _typed_events(spark, d) -> DataFrame:
+    """Every row of `events` as an event's JSON with fields of all types: source absent, null or given, times as numbers and texts."""
+    e, m = F.col("event_id"), F.col("event_id") % 3
+    source = F.when(m == 0, "").when(m == 1, ',"source":null').otherwise(',"source":"server"')
+    text = F.concat(
+        F.lit('{"event_id":"evt-'), e, F.lit('","event_type":"impression","campaign_id":"cmp-1","event_time":'),
+        F.when(e % 2 == 0, "1707690000123").otherwise('"2024-02-11T23:00:00.5+01:00"'), F.lit(',"fill":'), F.when(e % 4 == 0, "true").otherwise("false"),
+        F.lit(',"ad_slot":'), e % 7, F.lit(',"playhead_s":'), e % 100, F.lit('.5,"meta":{"a":'), e, F.lit(',"b":[1,null,"x"]},"note":null,"ad_request_id":"r \\"q\\""'), source, F.lit("}"),
+    )
+    return table(spark, d, "events", "event_id").select("event_id", text.alias("raw"))
+
+
+@query("""select event_id, event_id % 4 = 0 as fill, cast(event_id % 7 as integer) as ad_slot, cast(event_id % 100 as double) + 0.5 as playhead_s, event_id as meta_a, '[1,null,"x"]' as meta_b,
+ 'r "q"' as request, case event_id % 3 when 0 then 'client' when 2 then 'server' end as source, 'v1_events' as endpoint, '2024-02-12T00:00:00.000Z' as server_ts,
+ case when event_id % 2 = 0 then '2024-02-11T22:20:00.123Z' else '2024-02-11T22:00:00.500Z' end as event_time,
+ 'ad_request_id,ad_slot,campaign_id,event_id,event_time,event_type,fill,ingest_endpoint,meta,note,playhead_s,server_ts,source' as fields from events""")
+def ingest_value(spark, d):
+    """What the enriched record holds, read by a typed reader."""
+    rows = ingest.routed(_typed_events(spark, d), F.lit(NOW_MS)).select("event_id", "value")
+    read = F.from_json("value", "fill boolean, ad_slot int, playhead_s double, meta struct<a:bigint,b:string>, ad_request_id string, source string, ingest_endpoint string, server_ts string, event_time string")
+    rows = rows.select("event_id", F.explode(F.array(read)).alias("r"), F.array_join(F.array_sort(F.json_object_keys("value")), ",").alias("fields"))
+    named = {"fill": "fill", "ad_slot": "ad_slot", "playhead_s": "playhead_s", "meta.a": "meta_a", "meta.b": "meta_b", "ad_request_id": "request", "source": "source", "ingest_endpoint": "endpoint", "server_ts": "server_ts", "event_time": "event_time"}
+    return rows.select("event_id", *[F.col(f"r.{c}").alias(a) for c, a in named.items()], "fields")
+
+
+@query(f"""with {_FAULTS} select event_id, split_part(reason, ':', 1) as reason_class, case event_id % 500 when 300 then 'array' when 350 then 'string' else 'object' end as raw_kind, 'v1_events' as endpoint,
+ '2024-02-12T00:00:00.000Z' as server_ts, true as own_id from r where reason is not null""")
+def ingest_dlq_records(spark, d):
+    """The rejects' records: raw as an object where it was JSON, an id for each even where two rejects are equal."""
+    rows = _raw_events(spark, d)
+    bad = ingest.split(rows, F.lit(NOW_MS), position=F.col("event_id")).rejected
+    records = ingest.reject_records(bad, F.lit(NOW_MS)).select(F.explode(F.array(F.parse_json("value"))).alias("v"))
+    get = lambda f, t="string": F.variant_get("v", f"$.{f}", t)
+    seen = records.select(get("dlq_id").alias("dlq_id"), get("reason").alias("reason"), get("endpoint").alias("endpoint"), get("server_ts").alias("server_ts"), F.schema_of_variant(F.variant_get("v", "$.raw", "variant")).alias("kind"))
+    origin = ingest.routed(rows, F.lit(NOW_MS)).filter("reason is not null").select("event_id", F.sha2(F.concat_ws("|", "reason", "raw", F.col("event_id").cast("string")), 256).alias("dlq_id"))
+    kind = F.lower(F.regexp_extract("kind", "^[A-Z]+", 0))
+    return seen.join(origin, "dlq_id").select("event_id", F.substring_index("reason", ":", 1).alias("reason_class"), kind.alias("raw_kind"), "endpoint", "server_ts", F.lit(True).alias("own_id"))
+
+
 @query(f"with {_FAULTS} select split_part(reason, ':', 1) as reason_class, cast(count(*) as bigint) as n from r where reason is not null group by 1")
 def ingest_dlq_reasons(spark, d):
     return ingest.reason_counts(ingest.split(_raw_events(spark, d), F.lit(NOW_MS)).rejected)

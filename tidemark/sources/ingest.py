@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.signing import canonical, hmac_sha256
 
+# Required fields in the order of their test, seconds that an event may be ahead, and events of one body.
 REQUIRED = ("event_id", "event_type", "campaign_id", "event_time")
 FUTURE_S = 300
 MAX_BATCH = 5_000
@@ -103,34 +104,54 @@ class Ingested:
 
 
 def routed(events: DataFrame, now_ms: Column, endpoint: str = "v1_events") -> DataFrame:
-    """events (raw) with reason, topic, key and the enriched value; topic, key and value are null where there is a reason."""
-    event = F.col("tidemark_event")
+    """events (raw) with reason, topic, key and the enriched value; topic, key and value are null where there is a reason.
+
+    The value keeps the event's fields with their JSON types. server_ts, event_time and ingest_endpoint are set; source is client where there is no such field.
+    An object that names a field twice has its fields as text."""
     # a generated column is computed once: a plain one would be copied into every later expression, and into filters that are pushed below it
-    rows = events.withColumn("tidemark_event", F.explode(F.array(parsed(F.col("raw")))))
+    typed = F.try_parse_json("raw").try_cast("map<string,variant>")
+    rows = events.withColumn("tidemark_event", F.explode(F.array(F.struct(parsed(F.col("raw")).alias("text"), typed.alias("typed")))))
+    event = F.col("tidemark_event.text")
     where = topic(event["event_type"])
     reason = F.coalesce(invalid_reason(event, now_ms), F.when(where.isNull(), F.concat(F.lit("unknown_event_type:"), event["event_type"])))
     ok = F.col("reason").isNull()
     stamp = lambda ms: F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    value = F.map_concat(
-        F.map_filter(event, lambda k, v: ~k.isin("server_ts", "event_time", "ingest_endpoint")),
-        F.create_map(F.lit("server_ts"), stamp(now_ms), F.lit("event_time"), stamp(instant(event["event_time"])), F.lit("ingest_endpoint"), F.lit(endpoint)),
-        F.when(F.map_contains_key(event, "source"), F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("source"), F.lit("client"))),
-    )
+
+    def enriched(fields: Column, kind: str) -> Column:
+        word = lambda c: c.cast(kind)
+        return F.to_json(F.map_concat(
+            F.map_filter(fields, lambda k, v: ~k.isin("server_ts", "event_time", "ingest_endpoint")),
+            F.create_map(F.lit("server_ts"), word(stamp(now_ms)), F.lit("event_time"), word(stamp(instant(event["event_time"]))), F.lit("ingest_endpoint"), word(F.lit(endpoint))),
+            F.when(F.map_contains_key(fields, "source"), F.create_map().cast(f"map<string,{kind}>")).otherwise(F.create_map(F.lit("source"), word(F.lit("client")))),
+        ))
+
+    value = F.coalesce(enriched(F.col("tidemark_event.typed"), "variant"), enriched(event, "string"))
     return rows.withColumn("reason", reason).select(
-        *events.columns, "reason", F.when(ok, where).alias("topic"), F.when(ok, F.coalesce(event["ad_request_id"], event["event_id"])).alias("key"), F.when(ok, F.to_json(value)).alias("value")
+        *events.columns, "reason", F.when(ok, where).alias("topic"), F.when(ok, F.coalesce(event["ad_request_id"], event["event_id"])).alias("key"), F.when(ok, value).alias("value")
     )
 
 
-def split(events: DataFrame, now_ms: Column, endpoint: str = "v1_events") -> Ingested:
-    """Valid events (topic, key, value) and rejects (key, dlq_id, reason, endpoint, raw). The id of a reject is a digest of what it holds."""
-    rows = routed(events, now_ms, endpoint)
-    dlq_id = F.sha2(F.concat_ws("|", "reason", "raw"), 256)
+def split(events: DataFrame, now_ms: Column, endpoint: str = "v1_events", position: Column | None = None) -> Ingested:
+    """Valid events (topic, key, value) and rejects (key, dlq_id, reason, endpoint, raw).
+
+    The id of a reject is a digest of what it holds and of its position in the input, if given: equal rejects then have ids of their own, and the same ones
+    when a batch runs again."""
+    rows = routed(events if position is None else events.withColumn("tidemark_position", position.cast("string")), now_ms, endpoint)
+    dlq_id = F.sha2(F.concat_ws("|", "reason", "raw", *([] if position is None else ["tidemark_position"])), 256)
     bad = rows.filter("reason is not null").select(
         F.coalesce(F.get_json_object("raw", "$.event_id"), dlq_id).alias("key"), dlq_id.alias("dlq_id"), "reason", F.lit(endpoint).alias("endpoint"), "raw"
     )
     return Ingested(rows.filter("reason is null").select("topic", "key", "value"), bad)
 
 
+def reject_records(rejected: DataFrame, now_ms: Column) -> DataFrame:
+    """Rejects as (key, value) for their topic: value is the JSON of dlq_id, reason, endpoint, server_ts and raw; raw is an object where it was one."""
+    server_ts = F.date_format(F.timestamp_millis(now_ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    raw = F.coalesce(F.try_parse_json("raw"), F.col("raw").cast("variant"))
+    fields = {"dlq_id": F.col("dlq_id").cast("variant"), "reason": F.col("reason").cast("variant"), "endpoint": F.col("endpoint").cast("variant"), "server_ts": server_ts.cast("variant"), "raw": raw}
+    return rejected.select("key", F.to_json(F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v)])).alias("value"))
+
+
 def reason_counts(rejected: DataFrame) -> DataFrame:
     """Rejects by class: the reason up to its colon."""
     return rejected.groupBy(F.substring_index("reason", ":", 1).alias("reason_class")).agg(F.count("*").alias("n"))
