@@ -24,9 +24,9 @@ def con():
 
 def _names():
     import __spark_entry__ as entry
-    from tidemark.plans import ledger, problems
+    from tidemark.plans import ledger, problems, reports
 
-    return [n for plan in (problems, ledger) for n in plan.QUERIES if n in entry.oracle_sql()]
+    return [n for plan in (problems, ledger, reports) for n in plan.QUERIES if n in entry.oracle_sql()]
 
 
 @pytest.mark.parametrize("name", _names())

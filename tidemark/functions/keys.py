@@ -55,3 +55,13 @@ def arrival_us(c: Column | str) -> Column:
     return F.when(c.rlike(r"^\d+$"), F.try_multiply(c.try_cast("bigint"), F.lit(1000).cast("bigint"))).when(
         c.rlike(_STAMP), F.unix_micros(zoned.try_cast("timestamp"))
     )
+
+
+def minute_key(c: Column | str) -> Column:
+    """The minute of a timestamp as twelve digits."""
+    return F.date_format(c, "yyyyMMddHHmm")
+
+
+def click_url(base: str, campaign: Column, request: Column) -> Column:
+    """Where a click of a request leads; null without campaign."""
+    return F.concat(F.lit(base.rstrip("/") + "/"), F.url_encode(campaign), F.lit("?arid="), F.url_encode(F.coalesce(request, F.lit(""))))

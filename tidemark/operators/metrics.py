@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,27 @@ def merged_counters(scrapes: DataFrame) -> DataFrame:
     return scrapes.groupBy("name").agg(F.sum("value").alias("value"), F.count_distinct("replica").alias("alive"))
 
 
+def label_sum(scrapes: DataFrame, name: str, labels: dict[str, str]) -> DataFrame:
+    """One row: the sum of the values of `name` whose labels (as by exposition()) have all the given values, and how many lines have them."""
+    test = F.col("name") == name
+    for k, v in labels.items():
+        test = test & F.col("labels").rlike(f'(^|,){re.escape(k)}="{re.escape(v)}"(,|$)')
+    rows = scrapes.filter(test)
+    return rows.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"), F.count("*").alias("lines"))
+
+
+def replicas(scrapes: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row: how many of the expected replicas reported, and how many there are. expected: replica."""
+    seen = scrapes.select("replica").distinct().withColumn("alive", F.lit(1))
+    return expected.select("replica").distinct().join(seen, "replica", "left").agg(F.count("alive").alias("alive"), F.count("*").alias("total"))
+
+
+def topic_totals(offsets: DataFrame, window_s: int) -> DataFrame:
+    """offsets: at, topic, partition, end_offset. For each topic and instant the sum of its partitions' ends, and the rate over the trailing window."""
+    sums = offsets.groupBy("topic", "at").agg(F.sum("end_offset").alias("total"))
+    return windowed_rate(sums, ["topic"], "at", "total", window_s)
+
+
 def completion_rate(events: DataFrame, by: Column, name: str) -> DataFrame:
     """Completed among started quartiles by `by`; null without starts."""
     done, begun = F.count_if(F.col("quartile") == "complete"), F.count_if(F.col("quartile") == "start")

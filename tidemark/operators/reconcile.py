@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +58,29 @@ def totals(reconciled: DataFrame) -> DataFrame:
     sums = reconciled.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("realtime_impressions", "batch_impressions", "late", "ssai", "diff", "residual")])
     rate = F.bround(F.col("diff") / F.greatest("realtime_impressions", "batch_impressions", F.lit(1)), 4)
     return sums.withColumn("diff_rate", rate)
+
+
+REPORT = ("run_at", "dt", "campaign_id", "realtime_impressions", "batch_impressions", "diff", "diff_rate", "likely_cause", "scope")
+
+
+def minute_parameter(text: str) -> datetime.datetime:
+    """An instant given as a parameter, without zone: without an offset it is UTC; seconds are dropped."""
+    at = datetime.datetime.fromisoformat(text)
+    at = at.astimezone(datetime.timezone.utc).replace(tzinfo=None) if at.tzinfo else at
+    return at.replace(second=0, microsecond=0)
+
+
+def of_day(c: Column, dt: str) -> Column:
+    """c lies on the day dt; the bounds are compared with the column itself, so they reach the files."""
+    day = F.lit(dt).cast("date")
+    return (c >= day.cast("timestamp_ntz")) & (c < F.date_add(day, 1).cast("timestamp_ntz"))
+
+
+def reported(reconciled: DataFrame, run_at: Column, dt: Column, scope: str) -> DataFrame:
+    """The rows of a run as its history keeps them. scope: `daily` or `range`."""
+    return reconciled.select(run_at.alias("run_at"), dt.alias("dt"), *[c for c in REPORT if c not in ("run_at", "dt", "scope")], F.lit(scope).alias("scope")).select(*REPORT)
+
+
+def latest_run(history: DataFrame) -> DataFrame:
+    """The rows of the newest run."""
+    return history.filter(F.col("run_at") == history.agg(F.max("run_at")).scalar())

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,19 +22,27 @@ def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
 
 def minute_range(c: str, start_s: int | None, end_s: int | None) -> Column:
     """Both bounds are floored to their minute; the end is exclusive."""
-    us = wall_us(c)
-    test = F.lit(True)
+    at = lambda s: F.lit(datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=s // 60 * 60)).cast("timestamp_ntz")
+    test = F.lit(True)  # the column itself is compared, so the bounds reach the files
     if start_s is not None:
-        test = test & (us >= start_s // 60 * MINUTE)
+        test = test & (F.col(c) >= at(start_s))
     if end_s is not None:
-        test = test & (us < end_s // 60 * MINUTE)
+        test = test & (F.col(c) < at(end_s))
     return test
 
 
-def summary(minutes: DataFrame, start_s: int | None = None, end_s: int | None = None) -> DataFrame:
-    """Sums of all measures and the number of minutes by campaign, over a range of epoch seconds."""
+def kept_minutes(rows: DataFrame, now: Column, keep_hours: int = 48, minute: str = "minute_ts", version: str = "computed_at") -> DataFrame:
+    """The store of minutes as upserts by campaign and minute leave it: the newest row of each, without the minutes older than keep_hours at `now`."""
+    fresh = F.col(minute) >= F.timestamp_add("HOUR", F.lit(-keep_hours), now)
+    return latest(rows.filter(fresh), [minute, "campaign_id"], version)
+
+
+def summary(minutes: DataFrame, start_s: int | None = None, end_s: int | None = None, first_seen: Sequence[str] = ()) -> DataFrame:
+    """Sums of all measures and the number of minutes by campaign, over a range of epoch seconds; of the columns of first_seen the value of the earliest
+    minute that has one (the smallest of several)."""
     rows = minutes.filter(minute_range("minute_ts", start_s, end_s)).withColumn("campaign_id", plain_key("campaign_id"))
-    return rows.groupBy("campaign_id").agg(*[F.sum(m).alias(m) for m in MEASURES], F.count("*").alias("n_minutes"))
+    first = [F.min(F.when(F.col(c).isNotNull(), F.struct("minute_ts", F.col(c).alias("v"))))["v"].alias(c) for c in first_seen]
+    return rows.groupBy("campaign_id").agg(*[F.sum(m).alias(m) for m in MEASURES if m in rows.columns], F.count("*").alias("n_minutes"), *first)
 
 
 def series(minutes: DataFrame, last: int, measure: str = "impressions") -> DataFrame:
@@ -53,6 +64,18 @@ def newest(rows: DataFrame, order: list[str], limit: int) -> DataFrame:
     return rows.orderBy(*[F.col(c).desc() for c in order]).limit(limit)
 
 
+def newest_of_all(rows: DataFrame, order: list[str], limit: int) -> DataFrame:
+    """newest() with the number of all rows (total)."""
+    return newest(rows, order, limit).withColumn("total", rows.agg(F.count("*")).scalar())
+
+
+def report(rows: DataFrame, order: list[Column], limit: int | None = None) -> DataFrame:
+    """rows in order, the first `limit` of them if given, with their place from 1 on if limited: a bounded report."""
+    if limit is None:
+        return rows.orderBy(*order)
+    return rows.orderBy(*order).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
 def active_campaigns(campaigns: DataFrame, rates: DataFrame) -> DataFrame:
     """Active campaigns with their rates; a missing rate is 0."""
     rate = rates.groupBy(plain_key("campaign_id").alias("key")).agg(F.max("cpm").alias("cpm"), F.max("cpc").alias("cpc"))
