@@ -22,3 +22,19 @@ def jdbc_table(spark: SparkSession, url: str, name: str, key: str | None = None,
 def write_jdbc(rows: DataFrame, url: str, name: str, mode: str = "append", **options: str) -> None:
     """Appends, or replaces the rows of an existing table and keeps its definition (`overwrite`)."""
     rows.write.format("jdbc").option("url", url).option("dbtable", name).option("truncate", "true").options(**options).mode(mode).save()
+
+
+def execute(spark: SparkSession, url: str, *statements: str, **properties: str) -> None:
+    """Runs statements (definitions of tables, say) in a database, one after the other."""
+    jvm = spark.sparkContext._jvm
+    given = jvm.java.util.Properties()
+    for k, v in properties.items():
+        given.setProperty(k, v)
+    connection = jvm.java.sql.DriverManager.getConnection(url, given)
+    try:
+        for text in statements:
+            statement = connection.createStatement()
+            statement.execute(text)
+            statement.close()
+    finally:
+        connection.close()

@@ -9,26 +9,46 @@ Any streaming DataFrame with event_id, campaign_id, event_time and the columns o
 
 from __future__ import annotations
 
+import datetime
 import json
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidemark.operators.realtime import kinds
 from tidemark.operators.serving import latest
+from tidemark.schema import EVENT
 from tidemark.shipping import shipped
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FIELDS = "event_id string, kind string, campaign_id string, is_twin int, event_time timestamp, watermark_ms long"
 
 
-def kafka(spark: SparkSession, servers: str, topics: list[str], starting: str = "latest") -> DataFrame:
-    """The topics' records as (topic, key, value): one source for all, so that sinks share one read and one watermark. Needs Spark's Kafka package."""
-    rows = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics)).option("startingOffsets", starting).load()
-    return rows.select("topic", F.col("key").cast("string"), F.col("value").cast("string"))
+def kafka(spark: SparkSession, servers: str, topics: list[str], starting: str = "latest", group: str | None = None) -> DataFrame:
+    """The topics' records as (topic, partition, offset, key, value): one source for all, so that sinks share one read. Needs Spark's Kafka package.
+
+    starting: `latest`, or `earliest` to replay all that the topics hold (with a new checkpoint; an old one goes on where it was)."""
+    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics)).option("startingOffsets", starting)
+    rows = (reader.option("kafka.group.id", group) if group else reader).load()
+    return rows.select("topic", "partition", "offset", F.col("key").cast("string"), F.col("value").cast("string"))
+
+
+def topic_events(records: DataFrame, schema: T.StructType = EVENT) -> DataFrame:
+    """The events of records (topic, value, ...) as rows of the schema, with their topic as source_topic; what is no JSON object is skipped, an unreadable field is null."""
+    event = F.when(F.ltrim("value").startswith("{"), F.from_json("value", schema.add("_corrupt", "string") if "_corrupt" not in schema.fieldNames() else schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    rows = records.select(F.col("topic").alias("source_topic"), event.alias("e"), F.json_object_keys("value").isNotNull().alias("whole"))
+    return rows.filter("e is not null and whole").select("source_topic", *[F.col(f"e.{f}").alias(f) for f in schema.fieldNames() if f != "_corrupt"])
+
+
+def configure(spark: SparkSession, retain: int = 3) -> None:
+    """State in RocksDB, written as changes, and so many old snapshots kept to recover from."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    spark.conf.set("spark.sql.streaming.minBatchesToRetain", str(retain))
 
 
 def json_files(spark: SparkSession, path: str, schema, per_batch: int = 1000) -> DataFrame:
@@ -66,12 +86,14 @@ def deduplicated(events: DataFrame, delay: str = "10 seconds", ttl_ms: int = 3_6
     A row is late when a watermark exists and is at its window's end less a millisecond, or after."""
     shipped(events.sparkSession)
     rows = kinds(events).filter("event_id is not null").withWatermark("event_time", delay).select("event_id", "kind", "campaign_id", "is_twin", "event_time").filter("kind is not null")
+    rows = rows.observe("dedup_in", F.count(F.lit(1)).alias("rows"))
     out = rows.groupBy("event_id").transformWithState(
         statefulProcessor=KeepFirst(ttl_ms), outputStructType=FIELDS, outputMode="append", timeMode="ProcessingTime"
     )
     end = F.timestamp_seconds((F.floor(F.unix_seconds("event_time") / window_s) + 1) * window_s)
     late = (F.col("watermark_ms") > 0) & (F.col("watermark_ms") >= F.unix_millis(end) - 1)
-    return out.withColumn("window_end", end).withColumn("late", late)
+    out = out.withColumn("window_end", end).withColumn("late", late)
+    return out.observe("dedup_out", F.count(F.lit(1)).alias("rows"), F.count_if("late").alias("late"))
 
 
 def write_batches(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -82,6 +104,25 @@ def write_batches(rows: DataFrame, path: str, checkpoint: str, **trigger) -> Str
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
+    return _started(rows, sink, checkpoint, trigger)
+
+
+def fan_out(rows: DataFrame, sinks: Sequence[Callable[[DataFrame, int], None]], checkpoint: str, **trigger) -> StreamingQuery:
+    """One query for several sinks: each batch is computed once, and is done when all sinks have it. A batch whose sink failed runs again for all of
+    them, so sinks should replace by batch number, as write_batches() and upsert() do."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for sink in sinks:
+                sink(batch, number)
+        finally:
+            batch.unpersist()
+
+    return _started(rows, each, checkpoint, trigger)
+
+
+def _started(rows: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict) -> StreamingQuery:
     conf, name = rows.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
     before = conf.get(name)
     conf.set(name, "false")
@@ -91,6 +132,13 @@ def write_batches(rows: DataFrame, path: str, checkpoint: str, **trigger) -> Str
         conf.set(name, before)
 
 
+def flush(spark: SparkSession, path: str, past: datetime.datetime, delay_s: int = 10, window_s: int = 60, campaign: str = "flush") -> None:
+    """Adds one impression of a sentinel campaign to a folder of JSON events, late enough to close the window that holds `past`: when traffic stops, nothing else moves the watermark on."""
+    at = past + datetime.timedelta(seconds=window_s + delay_s + 1)
+    row = [(f"flush-{uuid.uuid4().hex}", "impression", campaign, at)]
+    spark.createDataFrame(row, "event_id string, event_type string, campaign_id string, event_time timestamp").coalesce(1).write.mode("append").json(path)
+
+
 def window_counts(rows: DataFrame, delay: str = "10 seconds", window: str = "1 minute") -> DataFrame:
     """Counts by window and campaign of rows that were not late; a window comes out once, when it closes."""
     is_ = lambda k: F.count_if(F.col("kind") == k)
@@ -101,8 +149,8 @@ def window_counts(rows: DataFrame, delay: str = "10 seconds", window: str = "1 m
     )
 
 
-def upsert(path: str, keys: list[str], version: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: the table at path holds the newest row of each key. A new generation is written beside the old one and named in
+def upsert(path: str, keys: list[str], version: str, keep: Callable[[], Column] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink: the table at path holds the newest row of each key, and of these the rows for which keep() holds at the time (a time to live). A new generation is written beside the old one and named in
     a pointer file last, so readers see a whole one, and a batch that runs again changes nothing."""
 
     def sink(batch: DataFrame, number: int) -> None:
@@ -110,6 +158,7 @@ def upsert(path: str, keys: list[str], version: str) -> Callable[[DataFrame, int
         old = current(spark, path)
         rows = batch if old is None else old.unionByName(batch)
         generation = f"generation-{number}-{uuid.uuid4().hex}"
+        rows = rows if keep is None else rows.filter(keep())
         latest(rows, keys, version).write.parquet(f"{path}/{generation}")
         _write_text(spark, f"{path}/CURRENT", generation)
 
@@ -143,20 +192,26 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def fail_open(sink: Callable[[DataFrame, int], None], fallback: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that writes a batch of (topic, key, value) as JSON lines where `sink` fails, and goes on."""
+    """A foreachBatch sink that writes a batch of (topic, key, value) as JSON lines where `sink` fails, and goes on.
+
+    A batch's folder is named by its query and number: it replaces itself if it runs again, and no batch of another query."""
+    own = uuid.uuid4().hex
 
     def guarded(batch: DataFrame, number: int) -> None:
         try:
             sink(batch, number)
         except Exception:  # noqa: BLE001
+            query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or own
             rows = batch.select("topic", "key", F.col("value").alias("payload"), F.current_timestamp().cast("string").alias("fallback_ts"))
-            rows.write.mode("overwrite").json(f"{fallback}/batch={number}")
+            rows.write.mode("overwrite").json(f"{fallback}/batch={query}-{number}")
 
     return guarded
 
 
 def replay_fallback(spark: SparkSession, fallback: str, sink: Callable[[DataFrame, int], None]) -> dict[str, int]:
-    """Sends every fallen-back batch again; a folder is renamed to .done once its batch went through. Returns folders, replayed, failed."""
+    """Sends every fallen-back batch again; a folder is renamed to .done once its batch went through. Returns folders, replayed, failed.
+
+    A folder that could not be renamed raises an error, as its batch would be sent again."""
     from tidemark.schema import FALLBACK
 
     fs, p = _file_system(spark, fallback)
@@ -171,15 +226,36 @@ def replay_fallback(spark: SparkSession, fallback: str, sink: Callable[[DataFram
         rows = spark.read.schema(FALLBACK).json(str(status.getPath())).select("topic", "key", F.col("payload").alias("value"))
         n = rows.count()
         try:
-            sink(rows, int(name.split("=")[1]))
+            sink(rows, int(name.rpartition("-")[2].removeprefix("batch=")))
         except Exception:  # noqa: BLE001
             counts["failed"] += n
             continue
         counts["replayed"] += n
-        fs.rename(status.getPath(), status.getPath().suffix(".done"))
+        done = status.getPath().suffix(".done")
+        if fs.exists(done):  # of a batch that was sent before and fell back again
+            fs.delete(done, True)
+        if not fs.rename(status.getPath(), done):
+            raise OSError(f"{status.getPath()} was sent and can't be renamed")
     return counts
 
 
+def counters(query: StreamingQuery) -> dict[str, int]:
+    """Sums over the query's recent batches: rows into and out of the deduplication, removed and late rows, and rows read; state rows and bytes, checkpoint milliseconds of the last."""
+    out = {"rows_in": 0, "dedup_in": 0, "dedup_out": 0, "late": 0}
+    last: dict = {}
+    for p in query.recentProgress:
+        last = p = json.loads(p.json) if hasattr(p, "json") and isinstance(p.json, str) else dict(p)
+        seen = p.get("observedMetrics") or {}
+        out["rows_in"] += p.get("numInputRows") or 0
+        out["dedup_in"] += (seen.get("dedup_in") or {}).get("rows") or 0
+        out["dedup_out"] += (seen.get("dedup_out") or {}).get("rows") or 0
+        out["late"] += (seen.get("dedup_out") or {}).get("late") or 0
+    out["removed"] = out["dedup_in"] - out["dedup_out"]
+    states = last.get("stateOperators") or []
+    out |= {"state_rows": sum(s.get("numRowsTotal") or 0 for s in states), "state_bytes": sum(s.get("memoryUsedBytes") or 0 for s in states)}
+    return out | {"checkpoint_ms": (last.get("durationMs") or {}).get("walCommit", 0) + (last.get("durationMs") or {}).get("commitOffsets", 0)}
+
+
 def progress(query: StreamingQuery) -> dict:
     """Rows in, state rows and watermark of a query's last batch."""
     last = query.lastProgress
