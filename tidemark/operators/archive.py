@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +47,9 @@ def partitions(rows: DataFrame) -> DataFrame:
 
 def lookup(rows: DataFrame, dt: str, hours: list[str], having: dict[str, list], plain: bool = False) -> DataFrame:
     """Rows of some hours of a day whose columns are among the given values, as written or, if plain, as keys are compared; on a written archive only
-    those folders are read."""
-    test = (F.col("dt") == dt) & F.col("hour").isin(*hours)
+    those folders are read, elsewhere the bounds of event_time reach the files."""
+    at = lambda hour: F.lit(datetime.datetime.fromisoformat(dt) + datetime.timedelta(hours=hour)).cast("timestamp_ntz")
+    test = (F.col("dt") == dt) & F.col("hour").isin(*hours) & (F.col("event_time") >= at(min(map(int, hours)))) & (F.col("event_time") < at(max(map(int, hours)) + 1))
     for name, values in having.items():
         test = test & (plain_key(name).isin(*[v.strip(" \t\r\n").lower() for v in values]) if plain else F.col(name).isin(*values))
     return rows.filter(test)

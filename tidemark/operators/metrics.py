@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import SECOND, wall_us
-
-CELLS = 4096
+from tidemark.operators.ranks import running_sum
+from tidemark.storage import written
 
 
 def windowed_rate(samples: DataFrame, series: list[str], at: str, value: str, window_s: int) -> DataFrame:
@@ -28,21 +28,16 @@ def windowed_rate(samples: DataFrame, series: list[str], at: str, value: str, wi
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
-    """The value at place min(n - 1, floor(n * p)) of each group's sorted values, from counts of equal values.
+    """The value at place min(n - 1, floor(n * p)) of each group's sorted values, from counts of equal values. Columns: keys, n, value_at_p.
 
-    Equal values become one row, rows fall into CELLS cells of their group's range, and only the cell that holds the place is sorted. Columns: keys, n,
-    value_at_p."""
+    Equal values become one row first; their running counts are taken by ranges (see ranks), whatever the values' distribution. Null values count nowhere."""
     rows = rows.filter(F.col(value).isNotNull())
-    spread = rows.groupBy(*keys).agg(F.min(value).alias("low"), (F.max(value) - F.min(value)).alias("span"), F.count("*").alias("n"))
-    spread = spread.withColumn("rank", F.least(F.col("n") - 1, F.floor(F.col("n") * p)))
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("c")).join(spread, keys)
-    counts = counts.withColumn("cell", F.when(F.col("span") > 0, F.floor((F.col(value) - F.col("low")) / F.col("span") * CELLS)).otherwise(0))
-    cells = counts.groupBy(*keys, "cell").agg(F.sum("c").alias("cell_c"))
-    below = F.coalesce(F.sum("cell_c").over(Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.withColumn("below", below)
-    inside = counts.join(cells, [*keys, "cell"]).filter((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("cell_c")))
-    upto = F.col("below") + F.sum("c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return inside.withColumn("upto", upto).filter("upto > rank").groupBy(*keys, "n").agg(F.min(value).alias("value_at_p"))
+    counts = written(rows.groupBy(*keys, value).agg(F.count("*").alias("c")), "counts")
+    whole = counts.groupBy(*keys).agg(F.sum("c").alias("n")).withColumn("rank", F.least(F.col("n") - 1, F.floor(F.col("n") * p)))
+    whole = whole.select(*[F.col(k).alias(f"w_{k}") for k in keys], "n", "rank")
+    upto = running_sum(counts, keys, value, "c")
+    joined = upto.join(whole, [upto[k].eqNullSafe(whole[f"w_{k}"]) for k in keys])
+    return joined.filter("upto > rank").groupBy(*keys, "n").agg(F.min(value).alias("value_at_p"))
 
 
 def consumer_lag(offsets: DataFrame) -> DataFrame:

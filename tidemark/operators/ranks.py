@@ -49,3 +49,20 @@ def before_max(df: DataFrame, order: str, values: Sequence[str], part_rows: int
     tops = tops.select("range", *[F.max(f"top_{v}").over(over).alias(f"top_{v}") for v in values])
     rows = rows.join(tops, "range").withColumns({f"before_{v}": F.greatest(F.max(v).over(inside), F.col(f"top_{v}")) for v in values})
     return rows.drop("range", *[f"top_{v}" for v in values])
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: str, part_rows: int = 1_000_000) -> DataFrame:
+    """df with upto: the sum of value over the rows of its keys up to and with its own, in ascending order. keys (one at least) and order tell all rows apart; value is null nowhere.
+
+    Sums within ranges of about part_rows, of the ranges before, and less what came before the key's first row: no task sorts a whole key."""
+    n = max(1, -(-df.count() // part_rows))
+    rows = written(df.repartitionByRange(n, *keys, order).withColumn("range", F.spark_partition_id()), "ranges")
+    sums = rows.groupBy("range").agg(F.sum(value).alias("own"))
+    sums = sums.select("range", F.coalesce(F.sum("own").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("range").orderBy(*keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(sums, "range").withColumn("all", F.col("before") + F.sum(value).over(inside))
+    named = [F.col(k).alias(f"h_{k}") for k in keys]
+    starts = rows.groupBy(*keys).agg(F.min(F.col("all") - F.col(value)).alias("start")).select(*named, "start")
+    test = [rows[k].eqNullSafe(starts[f"h_{k}"]) for k in keys]
+    rows = rows.join(starts, test)
+    return rows.withColumn("upto", F.col("all") - F.col("start")).select(*df.columns, "upto")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import NO_CAMPAIGN
+from tidemark.storage import written
 
 
 def one_per_id(events: DataFrame, keep: list[str], order: list[Column]) -> DataFrame:
@@ -39,8 +40,11 @@ def _deduped(events: DataFrame) -> DataFrame:
     return one_per_id(events, ["event_type", "campaign_id", "ad_request_id", "quartile", "fill", "source", "event_time", "late_flag"], order)
 
 
-def _measures(deduped: DataFrame, grain: Column, name: str) -> DataFrame:
-    """Counts of the kept rows by grain and campaign; collapsed impressions count where the survivor lies."""
+def _measures(events: DataFrame, grain: Column, name: str) -> DataFrame:
+    """Counts of the kept rows by grain and campaign; collapsed impressions count where the survivor lies.
+
+    The deduplicated rows are written once, as counts and collapse both read them."""
+    deduped = written(_deduped(events), "deduped")
     flag = lambda c: F.count_if(c).alias
     rows = deduped.filter(_in_campaign())
     kind = F.col("event_type")
@@ -60,12 +64,12 @@ def daily(events: DataFrame) -> DataFrame:
     """Settled measures per day and campaign; only days with a raw impression of the campaign appear.
 
     Repeated deliveries of an id have its event time, so a removed one belongs to the day of the kept one."""
-    return _measures(_deduped(events), F.to_date("event_time"), "dt").filter("raw_impressions > 0")
+    return _measures(events, F.to_date("event_time"), "dt").filter("raw_impressions > 0")
 
 
 def by_minute(events: DataFrame) -> DataFrame:
     """Settled measures per minute and campaign; groups without any measure do not appear."""
-    rows = _measures(_deduped(events), F.date_trunc("minute", "event_time").cast("timestamp_ntz"), "minute_ts")
+    rows = _measures(events, F.date_trunc("minute", "event_time").cast("timestamp_ntz"), "minute_ts")
     rows = rows.select("minute_ts", "campaign_id", "impressions", "raw_impressions", "clicks", "completes", "requests")
     return rows.filter("impressions + raw_impressions + clicks + completes + requests > 0")
 

@@ -14,6 +14,7 @@ from tidemark.operators.realtime import Roll
 from tidemark.plans.problems import sql_arrival, sql_campaign, sql_plain, sql_request
 from tidemark.sources import adapter, ingest
 from tidemark.sources.tables import table
+from tidemark.storage import written
 
 HOURLY = Roll(60 * MINUTE, 10 * MINUTE, None)
 WITH_TTL = Roll(60 * MINUTE, 10 * MINUTE, 30 * MINUTE)
@@ -265,7 +266,7 @@ _DAY = ("2024-01-10 00:00:00", "2024-01-20 00:00:00")
 
 
 def _reconciled(spark, d, start=None, end=None) -> DataFrame:
-    ad, rp = _ad(spark, d), _replay(spark, d)
+    ad, rp = _ad(spark, d), written(_replay(spark, d).select("event_id", "kind", "campaign_id", "is_twin", "event_us", "arrival_us", "window_end_us", "late"), "replayed")
     rt = realtime.window_counts(rp, HOURLY).filter(reconcile.in_range(F.col("window_start"), start, end)).select("campaign_id", F.col("impressions").alias("n"))
     batch = settlement.by_minute(ad).filter(reconcile.in_range(F.col("minute_ts"), start, end)).select("campaign_id", F.col("impressions").alias("n"), F.col("raw_impressions").alias("raw"))
     late = realtime.late_events(rp).filter("kind = 'impression'").filter(reconcile.in_range(F.col("event_time"), start, end)).select("campaign_id", F.lit(1).alias("n"))
@@ -483,7 +484,8 @@ def archive_lookup(spark, d):
     return _looked_up(spark, d, plain=False)
 
 
-@query()
+@query(f"""select event_id, ad_request_id, server_ts, 'ad.impression' as source_topic from src_impression where event_time >= timestamp '2024-02-05 03:00:00' and event_time < timestamp '2024-02-05 05:00:00'
+ and {sql_plain("campaign_id")} in ('cmp-4993', 'cmp-8500')""")
 def archive_lookup_all(spark, d):
     """archive_lookup with the rows whose campaign is written carelessly."""
     return _looked_up(spark, d, plain=True)
@@ -567,7 +569,10 @@ def trace_impressions(spark, d):
     return _traced(spark, d, F.col("campaign_id"), plain_key)
 
 
-@query()
+@query(f"""select i.event_id, {sql_request('i.ad_request_id')} as request, i.server_ts, o.id as outbox_id, l.watermark_at from src_impression i
+left join (select {sql_request('aggregate_id')} as k, min(id) as id from event_outbox group by 1) o on o.k = {sql_request('i.ad_request_id')}
+left join (select event_id, min(watermark_at) as watermark_at from late_dropped group by 1) l on l.event_id = i.event_id
+where {sql_plain('i.campaign_id')} = 'cmp-2193' and i.event_id is not null""")
 def trace_impressions_all(spark, d):
     """trace_impressions with the rows whose campaign is written carelessly; placeholders are no request and are not looked up."""
     return _traced(spark, d, plain_key("campaign_id"), request_key)

@@ -158,6 +158,14 @@ closing as (select pe, min(arr) as closes from (select distinct pe from firsts w
 select make_timestamp(pe - 60000000) as minute_start, campaign_id, cast(count(*) filter (where not rejected) as bigint) as impressions,
  cast(count(*) filter (where not rejected and arr > cut) as bigint) as provisional, coalesce(bool_or(not rejected and arr <= cut and coalesce(closes <= cut, false)), false) as frozen
 from firsts left join closing using (pe), fin where pe is not null group by pe, campaign_id having count(*) filter (where not rejected) > 0""",
+    "p1_periods_all": f"""with {_LOG}, fin as (select max(arr) - 21600000000 as cut from firsts),
+undated as (select event_id, min(arr) as arr, min(et - et % 60000000 + 60000000) as pe, arg_min(campaign_id, (et - et % 60000000, coalesce(campaign_id, ''))) as campaign_id, false as rejected from log
+ where event_id is not null and event_id not in (select event_id from firsts) group by event_id),
+ids as (select event_id, arr, pe, campaign_id, rejected from firsts union all select event_id, arr, pe, campaign_id, rejected from undated),
+closing as (select pe, min(arr) as closes from (select distinct pe from ids where pe is not null) p join (select arr, et from timed) t on et >= pe + 610000000 group by pe)
+select make_timestamp(pe - 60000000) as minute_start, campaign_id, cast(count(*) filter (where not rejected) as bigint) as impressions,
+ cast(count(*) filter (where not rejected and coalesce(arr > cut, false)) as bigint) as provisional, coalesce(bool_or(not rejected and coalesce(arr <= cut, true) and coalesce(closes <= cut, false)), false) as frozen
+from ids left join closing using (pe), fin where pe is not null group by pe, campaign_id having count(*) filter (where not rejected) > 0""",
     "p2_found": f"with {_REFS} select distinct table_name, record_id, ref_field, status from refs where record_id is not null",
     "p2_report": f"with {_REFS} select table_name, ref_field, status, cast(event_time as date) as event_day, cast(count(*) as bigint) as n_references from refs group by all",
     "p2_maintained": f"with {_REFS} select distinct table_name, record_id, ref_field, status from refs where record_id is not null",

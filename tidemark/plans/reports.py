@@ -12,7 +12,7 @@ from tidemark.plans.ledger import SQL as _LEDGER_SQL
 from tidemark.plans.problems import sql_campaign, sql_plain, sql_request
 from tidemark.sources import ingest
 from tidemark.sources.tables import table
-from tidemark.storage import folder
+from tidemark.storage import folder, written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -93,7 +93,7 @@ _DT = "2024-01-15"
 
 def _reconciled_days(spark, d, dt: str | None = None) -> DataFrame:
     """All days, or one, from the daily settlement."""
-    replayed = _replay(spark, d)
+    replayed = written(_replay(spark, d).select("event_id", "kind", "campaign_id", "is_twin", "event_us", "arrival_us", "window_end_us", "late"), "replayed")
     inside = (lambda c: reconcile.of_day(F.col(c), dt)) if dt else (lambda c: F.lit(True))
     rt = realtime.window_counts(replayed, HOURLY).filter(inside("window_start")).select("campaign_id", F.col("impressions").alias("n"))
     late = realtime.late_events(replayed).filter("kind = 'impression'").filter(inside("event_time")).select("campaign_id", F.lit(1).alias("n"))
