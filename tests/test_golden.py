@@ -115,7 +115,7 @@ def test_every_event_type_has_its_topic(spark):
 
 
 def test_pixels(spark):
-    secret = b"local-dev-secret"
+    secret = b"tidemark-test-key"
     sign = lambda q: hmac.new(secret, q.encode(), hashlib.sha256).hexdigest()
     plain = "cid=c 1&eid=e&exp=2000000000"
     good = "eid=e&cid=c+1&exp=2000000000&sig=" + sign(plain).upper()

@@ -74,6 +74,19 @@ def by_minute(events: DataFrame) -> DataFrame:
     return rows.filter("impressions + raw_impressions + clicks + completes + requests > 0")
 
 
+def found(events: DataFrame, key: str = "event_id") -> DataFrame:
+    """The rows with a key; an input without any is an error, so that a run over the wrong folder doesn't replace a table by nothing."""
+    rows = events.filter(F.col(key).isNotNull())
+    if rows.isEmpty():
+        raise LookupError(f"no row with {key} to settle")
+    return rows
+
+
+def records(settled: DataFrame, computed_at: Column) -> DataFrame:
+    """Settled rows as they are stored."""
+    return settled.withColumn("computed_at", computed_at)
+
+
 def dedup_stats(events: DataFrame) -> DataFrame:
     """One row: deliveries before and after deduplication, removed, and percent removed."""
     counts = events.filter("event_id is not null").groupBy("event_id").agg(F.count("*").alias("n"))

@@ -20,7 +20,7 @@ HOURLY = Roll(60 * MINUTE, 10 * MINUTE, None)
 WITH_TTL = Roll(60 * MINUTE, 10 * MINUTE, 30 * MINUTE)
 NOW = "2024-02-12T00:00:00"
 NOW_MS = 1_707_696_000_000
-SECRET = b"local-dev-secret"
+SECRET = b"tidemark-test-key"
 
 
 def _ad(spark: SparkSession, d: str) -> DataFrame:
@@ -31,6 +31,11 @@ def _replay(spark: SparkSession, d: str, roll: Roll = HOURLY) -> DataFrame:
     return realtime.replay(_ad(spark, d), roll)
 
 
+def _written_replay(spark: SparkSession, d: str) -> DataFrame:
+    """The replay for several readers."""
+    return written(_replay(spark, d).select("event_id", "kind", "campaign_id", "is_twin", "event_us", "arrival_us", "window_end_us", "late"), "replayed")
+
+
 _WITH = f"with {adapter.SQL}"
 _DEDUP = f"""{_WITH},
 once as (select * from (select *, row_number() over (partition by event_id order by event_time nulls last, arrival_time nulls last, dup_flag nulls last) as rn,
@@ -266,7 +271,7 @@ _DAY = ("2024-01-10 00:00:00", "2024-01-20 00:00:00")
 
 
 def _reconciled(spark, d, start=None, end=None) -> DataFrame:
-    ad, rp = _ad(spark, d), written(_replay(spark, d).select("event_id", "kind", "campaign_id", "is_twin", "event_us", "arrival_us", "window_end_us", "late"), "replayed")
+    ad, rp = _ad(spark, d), _written_replay(spark, d)
     rt = realtime.window_counts(rp, HOURLY).filter(reconcile.in_range(F.col("window_start"), start, end)).select("campaign_id", F.col("impressions").alias("n"))
     batch = settlement.by_minute(ad).filter(reconcile.in_range(F.col("minute_ts"), start, end)).select("campaign_id", F.col("impressions").alias("n"), F.col("raw_impressions").alias("raw"))
     late = realtime.late_events(rp).filter("kind = 'impression'").filter(reconcile.in_range(F.col("event_time"), start, end)).select("campaign_id", F.lit(1).alias("n"))

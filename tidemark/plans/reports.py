@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import campaign_key, click_url, minute_key, plain_key, request_key
 from tidemark.operators import archive, metrics, outbox, realtime, reconcile, serving, settlement, trace
-from tidemark.plans.ledger import _CAUSE, _RECON, _WITH, HOURLY, NOW, _ad, _archive, _raw_log, _replay
+from tidemark.plans.ledger import _CAUSE, _DAY, _DEDUP, _RECON, _WITH, HOURLY, NOW, _ad, _archive, _raw_log, _replay, _written_replay
 from tidemark.plans.ledger import SQL as _LEDGER_SQL
 from tidemark.plans.problems import sql_campaign, sql_plain, sql_request
 from tidemark.sources import ingest
 from tidemark.sources.tables import table
-from tidemark.storage import folder, written
+from tidemark.storage import folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -86,6 +88,36 @@ def report_campaigns(spark, d):
     return serving.report(rows, [F.col("campaign_id")], 100)
 
 
+@query(f"""with s as ({_LEDGER_SQL["settle_daily"]}) select dt, campaign_id, impressions, timestamp '{NOW}' as computed_at, row_number() over (order by dt, campaign_id) as place from s order by dt, campaign_id limit 50""")
+def report_settled_days(spark, d):
+    """Settled days by day and campaign, as stored: the first fifty rows."""
+    rows = settlement.records(settlement.daily(settlement.found(_ad(spark, d))), now()).select("dt", "campaign_id", "impressions", "computed_at")
+    return serving.report(rows, [F.col("dt"), F.col("campaign_id")], 50)
+
+
+@query(f"""select *, timestamp '{NOW}' as computed_at from ({_LEDGER_SQL["settle_minute"]})""")
+def settle_minute_records(spark, d):
+    """The settled minutes as they are stored."""
+    return settlement.records(settlement.by_minute(settlement.found(_ad(spark, d))), now())
+
+
+@query("""select event_id, recorded_at, kind, campaign_id, window_end from (select *, row_number() over (partition by event_id order by recorded_at desc nulls last, kind desc nulls last, campaign_id desc nulls last,
+ window_end desc nulls last) as rn from late_dropped) where rn = 1""")
+def serve_upserted_late_rows(spark, d):
+    """late_dropped as upserts by event_id leave it, with the newest row's values."""
+    return serving.latest(table(spark, d, "late_dropped", "event_id", "recorded_at", "kind", "campaign_id", "window_end"), ["event_id"], "recorded_at")
+
+
+@query(f"""{_DEDUP}, i as (select cast(event_time as date) as dt, campaign_id, count(*) as impressions from bill group by all),
+m as (select cast(event_time as date) as dt, campaign_id, cast(sum(copies - 1) as bigint) as dupes_removed, cast(count(*) as bigint) as raw_impressions from kept where event_type = 'impression' group by all)
+select dt, cast(sum(raw_impressions) as bigint) as raw_impressions, cast(sum(coalesce(impressions, 0)) as bigint) as impressions, cast(sum(raw_impressions - coalesce(impressions, 0)) as bigint) as twins_removed,
+ cast(sum(dupes_removed) as bigint) as dupes_removed from m left join i using (dt, campaign_id) group by dt""")
+def settle_days(spark, d):
+    """Settled days over all campaigns: what deduplication and collapse removed."""
+    rows = settlement.daily(_ad(spark, d)).groupBy("dt").agg(*[F.sum(c).alias(c) for c in ("raw_impressions", "impressions", "dupes_removed")])
+    return rows.select("dt", "raw_impressions", "impressions", (F.col("raw_impressions") - F.col("impressions")).alias("twins_removed"), "dupes_removed")
+
+
 # --- reconciliation --------------------------------------------------------------------------------------------------------------
 
 _DT = "2024-01-15"
@@ -93,7 +125,7 @@ _DT = "2024-01-15"
 
 def _reconciled_days(spark, d, dt: str | None = None) -> DataFrame:
     """All days, or one, from the daily settlement."""
-    replayed = written(_replay(spark, d).select("event_id", "kind", "campaign_id", "is_twin", "event_us", "arrival_us", "window_end_us", "late"), "replayed")
+    replayed = _written_replay(spark, d)
     inside = (lambda c: reconcile.of_day(F.col(c), dt)) if dt else (lambda c: F.lit(True))
     rt = realtime.window_counts(replayed, HOURLY).filter(inside("window_start")).select("campaign_id", F.col("impressions").alias("n"))
     late = realtime.late_events(replayed).filter("kind = 'impression'").filter(inside("event_time")).select("campaign_id", F.lit(1).alias("n"))
@@ -112,6 +144,17 @@ def recon_daily(spark, d):
     return reconcile.reported(_reconciled_days(spark, d, _DT), now(), F.lit(_DT).cast("date"), "daily")
 
 
+@query(_LEDGER_SQL["recon_range"])
+def recon_served_range(spark, d):
+    """The reconciliation of a range whose real-time side is the serving store's range summary."""
+    start, end = (int((datetime.datetime.fromisoformat(x) - datetime.datetime(1970, 1, 1)).total_seconds()) for x in _DAY)
+    replayed = _written_replay(spark, d)
+    served = serving.summary(realtime.window_counts(replayed, HOURLY).withColumnRenamed("window_start", "minute_ts"), start, end)
+    batch = settlement.by_minute(_ad(spark, d)).filter(reconcile.in_range(F.col("minute_ts"), *_DAY))
+    late = realtime.late_events(replayed).filter("kind = 'impression'").filter(reconcile.in_range(F.col("event_time"), *_DAY)).select("campaign_id", F.lit(1).alias("n"))
+    return reconcile.reconcile(served.select("campaign_id", F.col("impressions").alias("n")), batch.select("campaign_id", F.col("impressions").alias("n"), F.col("raw_impressions").alias("raw")), late)
+
+
 @query(f"""{_DAILY} select timestamp '{NOW}' as run_at, date '{_DT}' as dt, campaign_id, realtime_impressions, batch_impressions, diff, diff_rate, likely_cause, 'daily' as scope from rep""")
 def recon_latest_run(spark, d):
     """The newest of two runs in the history: an earlier one over all days, and that of one day."""

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_MARKED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,13 +40,26 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
+    """The application's folder; the driver's JVM deletes it when it ends."""
+    name = f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
+    if name not in _MARKED:
+        fs, path = _path(spark, name)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _MARKED.add(name)
+    return name
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes what written() left in this application. Results that were not stored elsewhere can't be read afterwards."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes what written() left in this application so far. Results that were not stored elsewhere can't be read afterwards."""
+    fs, path = _path(spark, _folder(spark))
+    fs.delete(path, True)
+    _MARKED.discard(str(path))
 
 
 def table_bytes(df: DataFrame) -> int:
