@@ -20,9 +20,8 @@ def _user_buckets(spark: SparkSession, d: str) -> DataFrame:
     return written(distinct.buckets(seen, codes, list(dims)), "buckets")
 
 
-def p4_distinct(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct users per day and campaign, per day, per campaign and overall: the last three merged from the first's bitmaps."""
-    stored = _user_buckets(spark, d)
+def _levels(stored: DataFrame) -> DataFrame:
+    """Counts per day and campaign, per day, per campaign and overall: the last three merged from the first's bitmaps."""
     out = None
     for level, dims in (("day_campaign", ["day", "campaign_id"]), ("day", ["day"]), ("campaign", ["campaign_id"]), ("all", [])):
         n = distinct.count(distinct.union(stored, dims), dims)
@@ -34,6 +33,11 @@ def p4_distinct(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def p4_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct users per day and campaign, per day, per campaign and overall."""
+    return _levels(_user_buckets(spark, d))
+
+
 def p4_returning(spark: SparkSession, d: str) -> DataFrame:
     """Distinct users by campaign that were seen on both 2024-02-05 and 2024-02-06: an AND of merged bitmaps."""
     import datetime
@@ -49,19 +53,18 @@ def p4_returning_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_maintained(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct users per day and overall, from stored bitmaps: those of the days up to the middle one, to which the later days' bitmaps are added.
+    """p4_distinct from stored bitmaps: those of the days up to the middle one, to which the later days' bitmaps are added.
 
     The later days bring their new users into the dictionary; stored buckets and numbers stay as they are."""
     rows = table(spark, d, "src_impression", "user_id", "campaign_id", "event_time")
+    dims = ["day", "campaign_id"]
     seen = written(distinct.facts(rows, plain_key("user_id"), {"day": F.to_date("event_time"), "campaign_id": plain_key("campaign_id")}), "facts")
-    days = seen.agg(F.percentile_approx(F.unix_date("day"), 0.5).alias("middle")).first()["middle"]
-    early = F.coalesce(F.unix_date("day") <= F.lit(days), F.lit(True))
+    middle = seen.agg(F.percentile_approx(F.unix_date("day"), 0.5).alias("middle")).first()["middle"]
+    early = F.coalesce(F.unix_date("day") <= F.lit(middle), F.lit(True))
     old = written(distinct.dictionary(seen.filter(early)), "dictionary")
-    stored = written(distinct.buckets(seen.filter(early), old, ["day", "campaign_id"]), "buckets")
+    stored = written(distinct.buckets(seen.filter(early), old, dims), "buckets")
     codes = written(distinct.dictionary(seen.filter(~early), old), "dictionary")
-    stored = stored.unionByName(written(distinct.buckets(seen.filter(~early), codes, ["day", "campaign_id"]), "buckets"))
-    by_day = distinct.count(distinct.union(stored, ["day"]), ["day"]).select(F.lit("day").alias("level"), "day", "n_distinct")
-    return by_day.unionByName(distinct.count(distinct.union(stored, []), []).select(F.lit("all").alias("level"), F.lit(None).cast("date").alias("day"), "n_distinct"))
+    return _levels(stored.unionByName(written(distinct.buckets(seen.filter(~early), codes, dims), "buckets")))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -158,10 +161,9 @@ select 'day_campaign' as level, day, campaign_id, cast(count(distinct u) as bigi
 union all select 'day', day, null, count(distinct u), 0 from users group by day
 union all select 'campaign', null, campaign_id, count(distinct u), 0 from users group by campaign_id
 union all select 'all', null, null, count(distinct u), 0 from users""",
-    "p4_maintained": f"""with {_USERS} select 'day' as level, day, cast(count(distinct u) as bigint) as n_distinct from users group by day
-union all select 'all', null, count(distinct u) from users""",
     "p4_returning_all": f"""with {_USERS}, d as (select distinct day, campaign_id, u from users where day is not null)
 select x.day, x.campaign_id, cast(count(*) as bigint) as n_distinct from d x join d y on y.day = x.day + 1 and y.u = x.u and y.campaign_id is not distinct from x.campaign_id group by all""",
     "p4_returning": f"""with {_USERS} select campaign_id, cast(count(*) as bigint) as n_distinct from (select campaign_id, u from users where day in (date '2024-02-05', date '2024-02-06')
  group by campaign_id, u having count(distinct day) = 2) group by campaign_id""",
 }
+SQL["p4_maintained"] = SQL["p4_distinct"]
