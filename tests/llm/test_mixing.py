@@ -78,22 +78,6 @@ def test_marginals_against_pandas(spark, tables):
     assert {a for _, a, _ in got} == {"lang", "topic"}
 
 
-def test_topics_separate_vocabularies_and_reach_every_row(spark):
-    rng = random.Random(9)
-    kinds = ["invoice payment total amount due bank", "football match goal team player score", "recipe flour butter oven sugar bake"]
-    rows = [(i, " ".join(rng.choice(kinds[i % 3].split()) for _ in range(40)), "x") for i in range(90)]
-    rows += [(100, None, "x"), (101, "", "x"), (102, "1 2 3 -- !", "x"), (None, "goal goal team", "x"), (103, "sugar " * 50_000, "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, features string")
-    got = mixing.with_topic(df)
-    assert got.columns == ["doc_id", "text", "features", "topic"]
-    topics = {r.doc_id: r.topic for r in got.collect()}
-    assert len(topics) == len(rows) and None not in topics.values()
-    of_kind = [{topics[i] for i in range(k, 90, 3)} for k in range(3)]
-    assert all(not of_kind[a] & of_kind[b] for a in range(3) for b in range(a))
-    assert {r.doc_id: r.topic for r in mixing.with_topic(df.repartition(5)).collect()} == topics
-    assert mixing.with_topic(df.filter("doc_id > 100 and doc_id < 103")).count() == 2 and mixing.with_topic(df.limit(0)).count() == 0
-
-
 def test_topics_of_the_caller(spark, tables):
     from pyspark.sql import functions as F
 

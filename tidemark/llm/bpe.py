@@ -26,7 +26,7 @@ import json
 import os
 import sys
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -330,14 +330,20 @@ def unpacked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, last
 
 
-def cut(documents: DataFrame, piece: int = PIECE) -> DataFrame:
-    """documents (key, text): the rows (block, key, codes) of documents and (block, code, word) of the blocks' different words, in one table, written."""
+#: Gives a number to each of some texts, from split()'s results for them.
+Label = Callable[[np.ndarray, list[str], np.ndarray], np.ndarray]
+
+
+def cut(documents: DataFrame, piece: int = PIECE, label: Label | None = None) -> DataFrame:
+    """documents (key, text): the rows (block, key, codes, label) of documents and (block, code, word) of the blocks' different words, in one table, written.
+
+    label is null where no function gives it."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     shipped(documents.sparkSession)
     kind = documents.schema["key"].dataType
     arrow = to_arrow_type(kind)
-    names = ["block", "code", "word", "key", "codes"]
+    names = ["block", "code", "word", "key", "codes", "label"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -352,7 +358,7 @@ def cut(documents: DataFrame, piece: int = PIECE) -> DataFrame:
                 part = words[i : i + WORDS]
                 n = len(part)
                 code = pa.array(np.arange(i, i + n, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), code, pa.array(part, pa.string()), pa.nulls(n, arrow), pa.nulls(n, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), code, pa.array(part, pa.string()), pa.nulls(n, arrow), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())], names)
 
         for keys, texts in _pieces(batches, piece):
             codes, words, per_text = split(texts)
@@ -366,10 +372,11 @@ def cut(documents: DataFrame, piece: int = PIECE) -> DataFrame:
             ends = np.append(0, np.cumsum(bytes_of))[np.append(0, np.cumsum(per_text))]
             n = len(texts)
             column = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.concat_arrays(keys), column], names)
+            labels = pa.nulls(n, pa.int32()) if label is None else pa.array(label(codes, words, per_text).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.concat_arrays(keys), column, labels], names)
         yield from ended()
 
-    rows = documents.select("key", "text").mapInArrow(run, f"block bigint, code int, word string, key {kind.simpleString()}, codes binary")
+    rows = documents.select("key", "text").mapInArrow(run, f"block bigint, code int, word string, key {kind.simpleString()}, codes binary, label int")
     return written(rows, "words")
 
 
@@ -463,7 +470,7 @@ def _block(docs: pa.Table, words: pa.Table) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _sides(cut_rows: DataFrame, path: str | None, with_ids: bool):
-    docs = cut_rows.filter("codes is not null").select(F.col("block").alias("at"), "key", "codes")
+    docs = cut_rows.filter("codes is not null").select(F.col("block").alias("at"), "key", "codes", "label")
     return docs.groupBy("at").cogroup(replayed(cut_rows, path, with_ids).groupBy("block"))
 
 
@@ -488,15 +495,15 @@ def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", pat
     return out.select(F.col("key").alias(key), "ids")
 
 
-def token_counts(documents: DataFrame, text: str, columns: list[str], path: str | None = None, block: int = PIECE) -> DataFrame:
-    """The columns and n_tokens, as many as token_ids() lists for the row's text."""
+def token_counts(documents: DataFrame, text: str, columns: list[str], path: str | None = None, block: int = PIECE, label: Label | None = None) -> DataFrame:
+    """The columns and n_tokens, as many as token_ids() lists for the row's text; and label, if a function gives it."""
 
     def counted(docs: pa.Table, words: pa.Table) -> pa.Table:
         _, sizes, codes, per_text = _block(docs, words)
         totals = np.append(0, np.cumsum(sizes[codes] if len(codes) else codes.astype(np.int64)))
-        return pa.table({"key": docs["key"], "n_tokens": np.diff(totals[np.append(0, np.cumsum(per_text))])})
+        return pa.table({"key": docs["key"], "n_tokens": np.diff(totals[np.append(0, np.cumsum(per_text))]), "label": docs["label"]})
 
     packed_columns = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    rows = cut(documents.select(packed_columns.alias("key"), F.col(text).alias("text")), block)
-    out = _sides(rows, path, False).applyInArrow(counted, f"key {rows.schema['key'].dataType.simpleString()}, n_tokens bigint")
-    return out.select(*[F.col(f"key.c{i}").alias(c) for i, c in enumerate(columns)], "n_tokens")
+    rows = cut(documents.select(packed_columns.alias("key"), F.col(text).alias("text")), block, label)
+    out = _sides(rows, path, False).applyInArrow(counted, f"key {rows.schema['key'].dataType.simpleString()}, n_tokens bigint, label int")
+    return out.select(*[F.col(f"key.c{i}").alias(c) for i, c in enumerate(columns)], "n_tokens", *([] if label is None else ["label"]))

@@ -12,9 +12,8 @@ documents reaches its target under its cap. Otherwise a source that cannot reach
 keep their targets. Shares are judged by what was reached: `met` within `tolerance` of the target, `short` below, `over` above (where others
 fall short or have no documents).
 
-Languages are two letters or `und`. Topics are a column of the caller, or `TOPICS` clusters of the texts' words: k-means over hashed, inversely weighted word
-counts, fitted on a sample of about `SAMPLE_ROWS` documents (taken by hash of the id, from all documents with text), and every document gets the cluster
-nearest to its whole text. So a mix has a bounded number of cells per source whatever the data hold; cells are raked in one task per mix. Running sums are taken
+Languages are two letters or `und`. Topics are a column of the caller, or clusters of the texts' words, fitted on a sample of bounded size and given to every document by its whole text (see
+topics). So a mix has a bounded number of cells per source whatever the data hold; cells are raked in one task per mix. Running sums are taken
 within parts of bounded size and offset by the sums of the parts before, so a source with a third of all documents is no hot task.
 
 Cases. Sources are compared in lower case and without surrounding white space; documents of null or other sources are in no mix. Documents
@@ -33,13 +32,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import plain_key
+from tidemark.llm import topics
 from tidemark.llm.bpe import token_counts
 from tidemark.shipping import shipped
 from tidemark.storage import table_bytes, written
 
-TOPICS = 16
-#: Documents that the topics are fitted on, about, and numbers that words are hashed to.
-SAMPLE_ROWS, FEATURES = 5_000, 4_096
 REACHABLE = "reachable"
 ROUNDS = 60
 UNIT = 10_000_000
@@ -62,32 +59,6 @@ def targets(mix_targets: DataFrame) -> DataFrame:
     return rows.join(whole, "mix_name").select("mix_name", "source", F.coalesce(F.try_divide("share", "whole"), F.lit(0.0)).alias("target_share"), "max_repeats")
 
 
-def with_topic(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """documents with a topic, from 0 on, for every row (in place of a column of that name). The clusters depend on the rows, not on their order or partitions."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-
-    found = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w).between(3, 15))
-    counts = HashingTF(inputCol="tidemark_words", outputCol="tidemark_counts", numFeatures=FEATURES)
-    rows = counts.transform(documents.withColumn("tidemark_words", found))
-    n = documents.count()
-    part = F.pmod(F.xxhash64(key), F.lit(1_000_000)) < max(1, round(1_000_000 * SAMPLE_ROWS / max(n, 1)))
-    sample = counts.transform(documents.filter(F.coalesce(part, F.lit(False)) & (F.trim(text) != "")).select(key, found.alias("tidemark_words")))
-    sample = written(sample.select(key, "tidemark_counts"), "sample")
-    if sample.isEmpty():
-        return documents.withColumn("topic", F.lit(0))
-    weigh = IDF(inputCol="tidemark_counts", outputCol="tidemark_weights").fit(sample)
-    level = Normalizer(inputCol="tidemark_weights", outputCol="tidemark_features")
-    points = written(level.transform(weigh.transform(sample)).groupBy("tidemark_features").agg(F.min(key).alias(key)), "points")  # each different one once
-    k = min(TOPICS, points.count())
-    if k < 2:
-        return documents.withColumn("topic", F.lit(0))
-    points = points.repartition(1).sortWithinPartitions(F.xxhash64(key), key)
-    model = KMeans(k=k, seed=1, maxIter=10, initMode="random", featuresCol="tidemark_features", predictionCol="tidemark_topic").fit(points)
-    placed = model.transform(level.transform(weigh.transform(rows)))
-    return placed.select(*[c for c in documents.columns if c != "topic"], F.col("tidemark_topic").alias("topic"))
-
-
 def sized(documents: DataFrame, goals: DataFrame, path: str | None = None, topic: Column | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens) of the documents that any mix names. topic: an integer of the caller's for each document."""
     lang = plain_key("lang")
@@ -96,8 +67,10 @@ def sized(documents: DataFrame, goals: DataFrame, path: str | None = None, topic
         *([] if topic is None else [F.coalesce(topic, F.lit(-1)).cast("int").alias("topic")]),
     )
     docs = docs.join(_small(goals.select("source").distinct()), "source", "left_semi")
-    docs = docs if topic is not None else with_topic(docs)
-    return token_counts(docs, "text", ["doc_id", "source", "lang", "topic"], path)
+    if topic is not None:
+        return token_counts(docs, "text", ["doc_id", "source", "lang", "topic"], path)
+    rows = token_counts(docs, "text", ["doc_id", "source", "lang"], path, label=topics.fitted(docs))
+    return rows.select("doc_id", "source", "lang", F.col("label").alias("topic"), "n_tokens")
 
 
 def cells(docs: DataFrame, goals: DataFrame, size_tokens: int | str | None = None) -> DataFrame:
