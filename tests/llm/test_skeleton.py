@@ -24,6 +24,10 @@ def test_different(a, b):
     assert skeleton.skeleton(a) != skeleton.skeleton(b)
 
 
+def test_control_characters_show_nothing():
+    assert skeleton.skeleton("a\x00b\x7f c\x1b") == "ab c" == skeleton.skeleton("a\x00b\x85\u200bc") and skeleton.skeleton("\x00\x01") is None
+
+
 def test_nothing_visible():
     assert [skeleton.skeleton(t) for t in (None, "", " \n", "​﻿", "­ ㅤ")] == [None] * 5
 

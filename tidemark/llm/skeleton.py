@@ -56,6 +56,11 @@ def _tables() -> tuple[dict[str, str], dict[str, str]]:
     return first, {c: to for to, all_ in LOOK_ALIKES.items() for c in all_}
 
 
+@lru_cache(1)
+def _unseen_ascii() -> dict[int, None]:
+    return {ord(c): None for c in _tables()[0] if c.isascii()}
+
+
 def _script(c: str) -> str:
     """The first word of a character's name, which names its script."""
     return unicodedata.name(c, "?").split()[0].removesuffix("-SMALL")
@@ -96,10 +101,10 @@ def skeleton(text: str | None, table: dict[str, str] | None = None) -> str | Non
     if text is None:
         return None
     first, fixed = _tables()
-    if text.isascii() and text.isprintable():
-        return " ".join(text.split()) or None
-    text = _replaced(text, first)
-    if not text.isascii():
+    if text.isascii():  # nothing to replace, and a table of 128 characters is applied in one pass
+        text = text.translate(_unseen_ascii())
+    else:
+        text = _replaced(text, first)
         text = unicodedata.normalize("NFKD", _replaced(unicodedata.normalize("NFKD", text), fixed if table is None else table))
     return " ".join(text.split()) or None
 
