@@ -27,13 +27,13 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: i
     calm = df.join(hot, same(df, hot), "left_anti").withColumn("rank", window)
     by = [*keys, *order]
     rows = df.join(hot, same(df, hot), "left_semi").repartitionByRange(-(-n // hot_rows), *by).sortWithinPartitions(*by)
-    rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "ordered")  # the range above 33 bits, the place within it below
-    rows = rows.withColumn("range", F.shiftright("id", 33))
-    before = F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = rows.groupBy("range").count().select("range", before.alias("before"))
-    rows = rows.join(sizes, "range").withColumn("place", F.col("id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before"))
-    starts = rows.groupBy(*keys).agg(F.min("place").alias("start")).select(*named, "start")
-    rows = rows.join(starts, same(rows, starts)).withColumn("rank", F.col("place") - F.col("start"))
+    rows = written(rows.withColumn("r_id", F.monotonically_increasing_id()), "ordered")  # the range above 33 bits, the place within it below
+    rows = rows.withColumn("r_range", F.shiftright("r_id", 33))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("r_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.groupBy("r_range").count().select("r_range", before.alias("r_before"))
+    rows = rows.join(sizes, "r_range").withColumn("r_place", F.col("r_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("r_before"))
+    starts = rows.groupBy(*keys).agg(F.min("r_place").alias("r_start")).select(*named, "r_start")
+    rows = rows.join(starts, same(rows, starts)).withColumn("rank", F.col("r_place") - F.col("r_start"))
     return calm.unionByName(rows.select(*calm.columns))
 
 
@@ -42,13 +42,13 @@ def before_max(df: DataFrame, order: str, values: Sequence[str], part_rows: int
 
     Rows are put into ranges of about part_rows; the maxima within a range and those of the ranges before it are found apart, so no task sorts everything."""
     n = max(1, -(-df.count() // part_rows))
-    rows = written(df.repartitionByRange(n, order).withColumn("range", F.spark_partition_id()), "ranges")
-    inside = Window.partitionBy("range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    tops = rows.groupBy("range").agg(*[F.max(v).alias(f"top_{v}") for v in values])
-    over = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("range", *[F.max(f"top_{v}").over(over).alias(f"top_{v}") for v in values])
-    rows = rows.join(tops, "range").withColumns({f"before_{v}": F.greatest(F.max(v).over(inside), F.col(f"top_{v}")) for v in values})
-    return rows.drop("range", *[f"top_{v}" for v in values])
+    rows = written(df.repartitionByRange(n, order).withColumn("r_range", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("r_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy("r_range").agg(*[F.max(v).alias(f"top_{v}") for v in values])
+    over = Window.orderBy("r_range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("r_range", *[F.max(f"top_{v}").over(over).alias(f"top_{v}") for v in values])
+    rows = rows.join(tops, "r_range").withColumns({f"before_{v}": F.greatest(F.max(v).over(inside), F.col(f"top_{v}")) for v in values})
+    return rows.drop("r_range", *[f"top_{v}" for v in values])
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: str, part_rows: int = 1_000_000) -> DataFrame:
@@ -56,13 +56,12 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: str, part
 
     Sums within ranges of about part_rows, of the ranges before, and less what came before the key's first row: no task sorts a whole key."""
     n = max(1, -(-df.count() // part_rows))
-    rows = written(df.repartitionByRange(n, *keys, order).withColumn("range", F.spark_partition_id()), "ranges")
-    sums = rows.groupBy("range").agg(F.sum(value).alias("own"))
-    sums = sums.select("range", F.coalesce(F.sum("own").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("range").orderBy(*keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(sums, "range").withColumn("all", F.col("before") + F.sum(value).over(inside))
+    rows = written(df.repartitionByRange(n, *keys, order).withColumn("r_range", F.spark_partition_id()), "ranges")
+    sums = rows.groupBy("r_range").agg(F.sum(value).alias("r_own"))
+    sums = sums.select("r_range", F.coalesce(F.sum("r_own").over(Window.orderBy("r_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("r_before"))
+    inside = Window.partitionBy("r_range").orderBy(*keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(sums, "r_range").withColumn("r_all", F.col("r_before") + F.sum(value).over(inside))
     named = [F.col(k).alias(f"h_{k}") for k in keys]
-    starts = rows.groupBy(*keys).agg(F.min(F.col("all") - F.col(value)).alias("start")).select(*named, "start")
-    test = [rows[k].eqNullSafe(starts[f"h_{k}"]) for k in keys]
-    rows = rows.join(starts, test)
-    return rows.withColumn("upto", F.col("all") - F.col("start")).select(*df.columns, "upto")
+    starts = rows.groupBy(*keys).agg(F.min(F.col("r_all") - F.col(value)).alias("r_start")).select(*named, "r_start")
+    rows = rows.join(starts, [rows[k].eqNullSafe(starts[f"h_{k}"]) for k in keys])
+    return rows.withColumn("upto", F.col("r_all") - F.col("r_start")).select(*df.columns, "upto")

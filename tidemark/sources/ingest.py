@@ -78,8 +78,12 @@ def instant(text: Column) -> Column:
 
 
 def parsed(raw: Column) -> Column:
-    """An event's top fields as text, null where raw is no JSON object. Nested values keep their JSON text."""
-    return F.when(F.ltrim(raw).startswith("{"), F.from_json(raw, "map<string,string>"))
+    """An event's top fields as text, null where raw is no JSON object. Nested values keep their JSON text; of a field that is named twice the last value holds."""
+    fields = F.when(F.ltrim(raw).startswith("{"), F.from_json(raw, "map<string,string>"))
+    names = F.map_keys(fields)
+    entries = F.map_entries(fields)
+    later = lambda e, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])
+    return F.when(F.size(names) == F.size(F.array_distinct(names)), fields).otherwise(F.map_from_entries(F.filter(entries, lambda e, i: ~later(e, i))))
 
 
 def invalid_reason(event: Column, now_ms: Column) -> Column:
@@ -107,7 +111,7 @@ def routed(events: DataFrame, now_ms: Column, endpoint: str = "v1_events") -> Da
     """events (raw) with reason, topic, key and the enriched value; topic, key and value are null where there is a reason.
 
     The value keeps the event's fields with their JSON types. server_ts, event_time and ingest_endpoint are set; source is client where there is no such field.
-    An object that names a field twice has its fields as text."""
+    An object that names a field twice has its fields as text, the last value of each."""
     # a generated column is computed once: a plain one would be copied into every later expression, and into filters that are pushed below it
     typed = F.try_parse_json("raw").try_cast("map<string,variant>")
     rows = events.withColumn("tidemark_event", F.explode(F.array(F.struct(parsed(F.col("raw")).alias("text"), typed.alias("typed")))))
