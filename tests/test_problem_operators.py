@@ -126,6 +126,15 @@ def test_a_stored_run_is_a_full_recompute_of_what_had_arrived(spark, seed):
     assert sorted(got) == sorted(rejected) and rejected
 
 
+def test_a_log_shorter_than_the_lag_is_all_provisional(spark):
+    rows = [(f"e{i}", "c", at(i * 60), at(i * 60).isoformat(), None) for i in range(30)] + [("u", "c", at(0), None, None)]
+    df = spark.createDataFrame(rows, RAW)
+    got = late.corrected_periods(df).collect()
+    assert len(got) == 30 and all(r.n == r.provisional == 1 and not r.frozen for r in got)
+    got = sorted((r.period_end, r.n, r.provisional) for r in late.corrected_periods(df, undated=True).collect())
+    assert [x[1:] for x in got] == [(2, 1)] + [(1, 1)] * 29
+
+
 def test_the_schedule_changes_no_result(spark):
     df = spark.createDataFrame(_messy_log(7), RAW)
     want = sorted(_late_by_hand([(e, c, t, None if s is None else dt.datetime.fromisoformat(s), x) for e, c, t, s, x in _messy_log(7)]))

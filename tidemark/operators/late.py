@@ -187,7 +187,8 @@ class Kept:
         self.view, spark = view, log.sparkSession
         self.cells = written(view.cells(log), "cells")
         begin, end = self.cells.agg(F.min("first_us"), F.max("last_us")).first()
-        self.instants = [] if end is None else sorted({end - us for us in before_end_us if end - us >= begin}) or [end]
+        # runs before the first arrival would be empty but for records without arrival, which the last run has too
+        self.instants = [] if end is None else sorted({end - us for us in before_end_us if end - us >= begin} | {end - min(before_end_us)})
         met = F.lit(len(self.instants))  # the first run that meets a record; those without arrival are known from the start
         for number in range(len(self.instants) - 1, -1, -1):
             met = F.when(F.col("arrival_us").isNull() | (F.col("arrival_us") <= self.instants[number]), number).otherwise(met)

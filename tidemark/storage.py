@@ -57,9 +57,10 @@ def _path(spark: SparkSession, name: str):
 
 def clear(spark: SparkSession) -> None:
     """Deletes what written() left in this application so far. Results that were not stored elsewhere can't be read afterwards."""
-    fs, path = _path(spark, _folder(spark))
+    name = _folder(spark)
+    fs, path = _path(spark, name)
     fs.delete(path, True)
-    _MARKED.discard(str(path))
+    _MARKED.discard(name)
 
 
 def table_bytes(df: DataFrame) -> int:
