@@ -121,3 +121,12 @@ def test_query_over_all_documents(spark, reference):
         pytest.skip("needs the test tables")
     want = {r.doc_id: reference.encode_ordinary(r.text or "") for r in table(spark, folder, "documents", "doc_id", "text").collect()}
     assert {r.doc_id: r.ids for r in queries.p7_ids(spark, folder).collect()} == want
+
+
+def test_ids_put_together_again(spark):
+    texts = ["", " hello  world\r\n", "é你🎉" * 50, "<|endoftext|>", "\x00\x1c ᅵ", "x" * 3000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in bpe.texts_of(bpe.token_ids(df)).collect()}
+    assert got == {**dict(enumerate(texts)), 99: ""}
+    none = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    assert {r.text for r in bpe.texts_of(none).collect()} == {""} and bpe.texts_of(none.limit(0)).count() == 0

@@ -127,6 +127,10 @@ class Vocabulary:
         order = np.argsort(pair, kind="stable")
         self.pairs, self.ranks = pair[order], order.astype(np.int32)
         self.made = np.array([ids[a + b] for a, b in merges], np.int32)
+        of_id = {i: bytes(byte_of[c] for c in token) for token, i in ids.items() if all(c in byte_of for c in token)}
+        #: The bytes of all ids, one after another, and where each begins; an id without bytes has none.
+        self.bytes = np.frombuffer(b"".join(of_id.get(i, b"") for i in range(max(ids.values()) + 1)), np.uint8)
+        self.starts = np.append(0, np.cumsum([len(of_id.get(i, b"")) for i in range(max(ids.values()) + 1)]))
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = (left.astype(np.int64) << 32) | right
@@ -507,3 +511,27 @@ def token_counts(documents: DataFrame, text: str, columns: list[str], path: str
     rows = cut(documents.select(packed_columns.alias("key"), F.col(text).alias("text")), block, label)
     out = _sides(rows, path, False).applyInArrow(counted, f"key {rows.schema['key'].dataType.simpleString()}, n_tokens bigint, label int")
     return out.select(*[F.col(f"key.c{i}").alias(c) for i, c in enumerate(columns)], "n_tokens", *([] if label is None else ["label"]))
+
+
+def texts_of(rows: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
+    """(key, text): the texts that lists of ids stand for; an empty text for an empty list and for none."""
+    spark = rows.sparkSession
+    shipped(spark)
+    kind = rows.schema[key].dataType
+    shared = spark.sparkContext.broadcast(Vocabulary(path or default_path()))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = shared.value
+        size = np.diff(vocab.starts)
+        for batch in batches:
+            lists = batch.column(1).fill_null([])
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            per = size[flat]
+            ends = np.append(0, np.cumsum(per))
+            data = vocab.bytes[np.repeat(vocab.starts[flat] - ends[:-1], per) + np.arange(ends[-1])].tobytes()
+            stops = ends[np.append(0, np.cumsum([len(x) for x in lists]))]
+            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["key", "text"])
+
+    out = rows.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"key {kind.simpleString()}, text string")
+    return out.select(F.col("key").alias(key), "text")

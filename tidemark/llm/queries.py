@@ -79,6 +79,12 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.token_ids(table(spark, d, "documents", "doc_id", "text"))
 
 
+def p7_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts put together again from their ids, as digests and bytes: the round trip loses nothing."""
+    rows = bpe.texts_of(p7_ids(spark, d))
+    return rows.select("doc_id", F.md5("text").alias("digest"), F.octet_length("text").alias("n_bytes"))
+
+
 def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
     """Every mix at the largest size at which its sources reach their shares."""
     return mixing.mixture(table(spark, d, "documents", "doc_id", "text", "source", "lang"), table(spark, d, "mix_targets"), size_tokens=mixing.REACHABLE)
@@ -119,7 +125,7 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.skeletons(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p4_distinct, p4_returning, p4_returning_all, p4_maintained, p6_found, p6_merged, p7_ids, p8_mix, p8_shares, p8_marginals, p9_found, p9_classes, p9_forms)}
+QUERIES = {f.__name__: f for f in (p4_distinct, p4_returning, p4_returning_all, p4_maintained, p6_found, p6_merged, p7_ids, p7_texts, p8_mix, p8_shares, p8_marginals, p9_found, p9_classes, p9_forms)}
 
 _PLAIN = "lower(trim({c}, ' ' || chr(9) || chr(10) || chr(13)))"
 _USERS = f"""users as (select cast(event_time as date) as day, {_PLAIN.format(c="campaign_id")} as campaign_id, {_PLAIN.format(c="user_id")} as u from src_impression
@@ -167,3 +173,4 @@ select x.day, x.campaign_id, cast(count(*) as bigint) as n_distinct from d x joi
  group by campaign_id, u having count(distinct day) = 2) group by campaign_id""",
 }
 SQL["p4_maintained"] = SQL["p4_distinct"]
+SQL["p7_texts"] = "select doc_id, md5(coalesce(text, '')) as digest, cast(strlen(coalesce(text, '')) as integer) as n_bytes from documents"
