@@ -132,18 +132,6 @@ class LambdaView:
         """arrivals() with closes_us and rejected."""
         return self.arrivals(stamped, "closes_us").withColumn("rejected", _rejected())
 
-    def rejected(self, stamped: DataFrame) -> DataFrame:
-        """event_id of each record whose first arrival came after its period was frozen.
-
-        Two long minima by id: hash-aggregated before and after the shuffle, so an id with a third of the rows is no hot task."""
-        return (
-            stamped.filter("event_id is not null")
-            .groupBy("event_id")
-            .agg(F.min("arrival_us").alias("first_us"), F.min(F.when(_rejected(), F.col("arrival_us"))).alias("late_us"))
-            .filter("first_us = late_us")
-            .select("event_id")
-        )
-
     def speed(self, firsts: DataFrame, after_us: int | Column) -> DataFrame:
         """Provisional increments (period_end, group, n) of the records that arrived after the last batch run."""
         new = firsts.filter((F.col("arrival_us") > after_us) & ~F.col("rejected") & F.col("period_end").isNotNull())

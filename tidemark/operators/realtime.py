@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.keys import MINUTE, SECOND, floor_to, wall_time, wall_us
+from tidemark.functions.keys import MINUTE, SECOND, wall_time, wall_us
 from tidemark.operators.late import CutOff, LambdaView
 from tidemark.operators.ranks import before_max, ranked
 from tidemark.sources.ingest import topic
