@@ -70,16 +70,17 @@ def clustered(counts: np.ndarray, k: int) -> Model:
     if not len(x):
         return Model(weights, np.zeros((1, counts.shape[1])))
     rng = np.random.default_rng(1)
+    away = lambda centre: np.maximum(1 + (centre * centre).sum() - 2 * (x @ centre), 0)
     centres = x[:1]
-    far = ((x - centres[0]) ** 2).sum(axis=1)
+    far = away(centres[0])
     while len(centres) < k and far.sum() > 1e-9:
         new = x[rng.choice(len(x), p=far / far.sum())]
         centres = np.vstack([centres, new])
-        far = np.minimum(far, ((x - new) ** 2).sum(axis=1))
+        far = np.minimum(far, away(new))
     for _ in range(ROUNDS):
         near = Model(weights, centres).nearest(x)
         size = np.bincount(near, minlength=len(centres))
-        sums = np.vstack([x[near == c].sum(axis=0) for c in range(len(centres))])
+        sums = np.eye(len(centres))[near].T @ x
         new = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centres)
         if np.allclose(new, centres):
             break
