@@ -52,3 +52,33 @@ def test_pieces_change_no_topic(monkeypatch):
     monkeypatch.setattr(topics, "ROWS", 7)
     assert np.array_equal(model(*bpe.split(rows)), whole)
     assert np.array_equal(np.concatenate([model(*bpe.split([t])) for t in rows]), whole)
+
+
+def test_the_clusters_are_those_of_all_texts(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(KINDS[i % 3].split()) for _ in range(25)), "x") for i in range(6_000)] + [(6_000 + i, "anchor sail keel mast " + "sail " * i, "x") for i in range(10)]
+    model = topics.fitted(spark.createDataFrame(rows, "doc_id long, text string, label string").repartition(3), k=5)
+    counts = np.vstack(list(topics._features(*bpe.split([t for _, t, _ in rows]))))
+    different = np.unique(counts, axis=0)
+    assert len(different) > 5_000
+    assert np.array_equal(model.weights, np.log((1 + len(different)) / (1 + (different > 0).sum(axis=0))))
+    whole = topics.clustered(counts, 5)
+    assert np.array_equal(model.centres, whole.centres) and len(model.centres) == 5
+
+
+def test_candidates_change_no_seed(monkeypatch):
+    rng = random.Random(5)
+    counts = np.vstack(list(topics._features(*bpe.split([" ".join(rng.choice(" ".join(KINDS).split()) for _ in range(20)) for _ in range(400)]))))
+    many = topics.clustered(counts, 8)
+    monkeypatch.setattr(topics, "CANDIDATES", 1)
+    assert np.array_equal(topics.clustered(counts, 8).centres, many.centres)
+
+
+def test_packed_counts_are_whole():
+    counts = np.zeros((3, topics.FEATURES), np.int64)
+    counts[0, [0, 5, 1023]] = 1, 2**22 - 1, 2**22
+    counts[2, [5, 6]] = 2**27 + 3, 7
+    (c,) = topics._unpacked(topics._packed(topics._sparse(counts)))
+    back = np.zeros_like(counts)
+    back[c.row, c.feature] = c.n
+    assert np.array_equal(back, counts)
